@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of every contract: space and the controls 9 to 13.
@@ -31,10 +33,27 @@ def parallelism(df: DataFrame, at_least: int = 1) -> int:
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One contiguous large_string array, null as empty."""
+    """One large_string array that starts at offset 0, null as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.cast(pa.large_string()).fill_null("")
+    texts = column.cast(pa.large_string()).fill_null("")
+    if texts.buffers()[2] is None:
+        return pa.array([""] * len(texts), pa.large_string())
+    # Some kernels misread arrays whose first offset isn't 0.
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), data)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to runs of rows of about `size` bytes of a text column: bounds the working arrays."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        piece = np.cumsum(lengths) // size
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstroke.llm.common import code_points, per_row, row_numbers, table, texts_of
+from penstroke.llm.common import chunks, code_points, per_row, row_numbers, table, texts_of
 
 BITS = 6
 CLASSES = 1 << BITS
@@ -69,7 +69,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in chunks(batches, 0):
             code, row, _, _ = trigrams(texts_of(batch.column(0)))
             names = batch.column(1).dictionary_encode()
             of = names.indices.to_numpy()[row]
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, table_ = shared.value
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             n = batch.num_rows
             pred, score, sets = np.full(n, len(labels) - 1), np.zeros(n), np.zeros(n, np.int64)
             code, row, word, lettered = trigrams(texts_of(batch.column("text")))
