@@ -8,12 +8,13 @@ from penstroke.llm.packing import op8_length_buckets
 from penstroke.llm.quality import op10_quality_rules
 from penstroke.llm.secrets import op5_secret_scan
 from penstroke.llm.sharding import op6_lookup_sharding
+from penstroke.llm.substrings import op9_suffix_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_qgram_decontamination, sentence_spans.op2_sentence_spans, op3_language_mixture, urls.op4_url_rules, op5_secret_scan,
-        op6_lookup_sharding, op7_parity_jaccard, op8_length_buckets, op10_quality_rules,
+        op6_lookup_sharding, op7_parity_jaccard, op8_length_buckets, op9_suffix_dedup, op10_quality_rules,
     )
 }
 ORACLES = {"op2_sentence_spans": sentence_spans.ORACLE, "op4_url_rules": urls.ORACLE}
