@@ -7,7 +7,7 @@ slots. The table has a fixed size whatever the data, so it is broadcast and a ro
 of the hash of its key.
 
 A key that holds more than its even share of rows (`spread` over one shard's share) would overfill a shard:
-its rows are dealt over as many consecutive slots as it has such shares, by the hash of the whole row.
+its rows are dealt over as many consecutive slots as it has quarters of such shares, by the hash of the whole row.
 
 Degenerate rows: a null key is one key of its own; repeated rows go to one shard unless their key is spread;
 an empty table gives no rows; further columns are kept, `slot` and `shard` replaced.
@@ -59,7 +59,7 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: in
     if spread is not None:
         counted = rows.groupBy(key).count()
         share = F.lit(spread) * counted.select(F.sum("count")).first()[0] / len(shards) if counted.head(1) else F.lit(1.0)
-        hot = counted.where(F.col("count") > share).select(F.col(key).alias("__key"), F.ceil(F.col("count") / share).alias("__ways"))
+        hot = counted.where(F.col("count") > share).select(F.col(key).alias("__key"), F.ceil(4 * F.col("count") / share).alias("__ways"))
         # Keys above a share are fewer than the shards / spread: a bounded table.
         rows = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left")
         slot = F.pmod(slot + F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if not c.startswith("__"))), F.coalesce("__ways", F.lit(1))), F.lit(slots))
