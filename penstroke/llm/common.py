@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -19,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; a local folder only where none is set."""
+    """Cut lineage with a checkpoint in the shared folder; a local folder only where none is set.
+
+    Shuffle files of what was cut are deleted once the driver has collected its garbage, so that is asked for."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="penstroke-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def parallelism(df: DataFrame, at_least: int = 1) -> int:

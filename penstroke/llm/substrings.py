@@ -170,9 +170,9 @@ def _window_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[0]), mix(out[1])
 
 
-def surroundings(held: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Of (doc_id, text, places): kind 0 surroundings of anchors, kind 1 spans already known to go, kind 2 windows of hot grams."""
-    shared = held.sparkSession.sparkContext.broadcast(hot)
+def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Of rows with text in column `at` and places in the last: kind 0 surroundings of anchors, kind 1 spans already known to go, kind 2 windows of hot grams."""
+    shared, column_ = held.sparkSession.sparkContext.broadcast(hot), at
 
     def settle_batch(around: list[np.ndarray], windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, single = np.concatenate(around), np.concatenate(windows)
@@ -189,9 +189,9 @@ def surroundings(held: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around, windows, size = [np.zeros(0, AROUND)], [np.zeros(0, WINDOW)], 0
-        for batch in chunks(batches, 1):
-            flat, offsets = byte_view(texts_of(batch.column(1)))
-            places = [np.frombuffer(b"".join(x), PLACE) for x in batch.column(2).to_pylist()]
+        for batch in chunks(batches, column_):
+            flat, offsets = byte_view(texts_of(batch.column(column_)))
+            places = [np.frombuffer(b"".join(x), PLACE) for x in batch.column(batch.num_columns - 1).to_pylist()]
             row = np.repeat(np.arange(len(places)), [len(p) for p in places])
             place = np.concatenate(places)
             at = place["at"] + offsets[row]
@@ -324,26 +324,27 @@ def _meet_surroundings(group: pa.Table) -> pa.Table:
     return _table(0, np.concatenate(out))
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): blobs of SPAN of every document with a byte to remove; docs has doc_id (long, no null) and text."""
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+def removed_spans(docs: DataFrame, key: str) -> DataFrame:
+    """(key, __spans): blobs of SPAN of every document with a byte to remove; key is a column of docs (long, no null) beside text."""
+    keyed = docs.select(key, F.col("text").cast("string").alias("text"))
+    total = keyed.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * parallelism(docs), total // 30 // BUCKET)
-    found = settle(repeated_anchors(docs, buckets))
+    found = settle(repeated_anchors(keyed, buckets))
     limit = max(HOT, total // 30 // HOT_SHARE)
     entries = np.dtype([("key", "<u8"), ("n", "<i8")])
     grams = [np.frombuffer(r.blob, entries)[0] for r in found.where("kind = 1").select("blob").toLocalIterator()]
     hot = np.sort(np.array([g["key"] for g in grams if g["n"] > limit], np.uint64))
-    places = found.where("kind = 0").groupBy(F.col("bucket").alias("doc_id")).agg(F.collect_list("blob").alias("places"))
-    met = surroundings(docs.join(places, "doc_id").select("doc_id", "text", "places"), hot, buckets).groupBy("bucket").applyInArrow(_meet_surroundings, SCHEMA)
-    return met.groupBy(F.col("bucket").alias("doc_id")).agg(F.collect_list("blob").alias("spans"))
+    places = found.where("kind = 0").groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__places"))
+    # The join takes all columns of docs, so that the one which applies the spans reuses its exchange of the texts.
+    met = surroundings(docs.join(places, key).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets).groupBy("bucket").applyInArrow(_meet_surroundings, SCHEMA)
+    return met.groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__spans"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """All columns of docs, then kept (bytes), n_bytes, n_removed and n_spans."""
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__doc", "__spans")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = removed_spans(keyed).withColumnRenamed("doc_id", "__doc").withColumnRenamed("spans", "__spans")
-    joined = docs.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc"), "left").drop("__doc")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__key", "__places", "__spans")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    joined = keyed.join(removed_spans(keyed, "__key"), "__key", "left").select(*docs.columns, "__spans")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
