@@ -10,9 +10,10 @@ from penstroke.functions.text import tokens, unpivot
 
 def char_units(docs: DataFrame, order: int = 3) -> DataFrame:
     """(doc_id, i, context, unit): each character after its `order` - 1 predecessors."""
-    text = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).where(F.length("t") >= order)
-    at = text.select("doc_id", "t", F.explode(F.sequence(F.lit(order), F.length("t"))).alias("i"))
-    return at.select("doc_id", "i", F.substr("t", F.col("i") - (order - 1), F.lit(order - 1)).alias("context"), F.substr("t", "i", F.lit(1)).alias("unit"))
+    chars = docs.select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), "").alias("c")).where(F.size("c") >= order)
+    one = lambda i: F.get("c", i)
+    cuts = F.transform(F.sequence(F.lit(order - 1), F.size("c") - 1), lambda i: F.struct(i.alias("i"), F.concat(*(one(i - k) for k in range(order - 1, 0, -1))).alias("context"), one(i).alias("unit")))
+    return chars.select("doc_id", F.explode(cuts).alias("u")).select("doc_id", "u.*")
 
 
 def word_units(docs: DataFrame) -> DataFrame:

@@ -31,13 +31,14 @@ def word_rates(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return grid.join(hits, ["doc_id", "term"], "left").select("doc_id", "term", ratio(F.coalesce("c", F.lit(0)), F.col("size")).alias("value"))
 
 
-#: Types of character n-grams by where they stand: those with punctuation, with a space, within or at the edge of a word.
 def char_grams(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, gram, type): every n-gram of the lower-cased text."""
+    """(doc_id, gram, type): every n-gram of the lower-cased text, typed by where it stands: with punctuation, with a space, within or
+    at the edge of a word."""
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " ")
-    padded = docs.select("doc_id", text.alias("t")).where(F.length("t") >= n)
-    at = padded.select("doc_id", "t", F.explode(F.sequence(F.lit(1), F.length("t") - n + 1)).alias("i"))
-    cut = at.select("doc_id", F.substr("t", "i", F.lit(n)).alias("gram"), F.when(F.col("i") == 1, " ").otherwise(F.substr("t", F.col("i") - 1, F.lit(1))).alias("left"), F.rpad(F.substr("t", F.col("i") + n, F.lit(1)), 1, " ").alias("right"))
+    chars = docs.select("doc_id", F.split(text, "").alias("c")).where(F.size("c") >= n)
+    one = lambda i: F.get("c", i)
+    cuts = F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: F.struct(F.concat(*(one(i + k) for k in range(n))).alias("gram"), F.coalesce(one(i - 1), F.lit(" ")).alias("left"), F.coalesce(one(i + n), F.lit(" ")).alias("right")))
+    cut = chars.select("doc_id", F.explode(cuts).alias("g")).select("doc_id", "g.*")
     punct, space, letter = r"[^\p{L}\p{Nd}\x20]", r"\x20", r"[\p{L}\p{Nd}]"
     has = lambda c, p: F.regexp(F.col(c), F.lit(p))
     kind = (

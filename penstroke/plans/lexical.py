@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c).cast("long") if kind == "int" else F.col(c) for c, kind in df.dtypes))
+    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c).cast("long") if kind == "int" else F.col(c) for c, kind in df.dtypes))
 
 
 def _q(text: str) -> str:
@@ -46,7 +46,7 @@ sent AS (SELECT doc_id, s, sentence, regexp_extract_all(lower(sentence), {_q(W.T
 
 
 def _long(dims: dict[str, str], source: str, key: str = "doc_id", where: str = "") -> str:
-    parts = " UNION ALL ".join(f"SELECT {key}, {_q(d)} AS dim, round(({e})::DOUBLE, 6) AS value FROM {source}" for d, e in dims.items())
+    parts = " UNION ALL ".join(f"SELECT {key}, {_q(d)} AS dim, round(({e})::DOUBLE, 6) + 0.0 AS value FROM {source}" for d, e in dims.items())
     return f"SELECT * FROM ({parts}) {where}"
 
 
@@ -109,8 +109,8 @@ def word_rates(spark, sf):
 
 
 _GRAM = r"""WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
-g AS (SELECT substr(t, i, 3) AS gram, CASE WHEN i = 1 THEN ' ' ELSE substr(t, i - 1, 1) END AS l, CASE WHEN i + 3 > length(t) THEN ' ' ELSE substr(t, i + 3, 1) END AS r
-  FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM t WHERE length(t) >= 3)),
+e AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM (SELECT doc_id, string_split(t, '') AS c FROM t WHERE length(t) >= 3)),
+g AS (SELECT ch || n1 || n2 AS gram, l, coalesce(n3, ' ') AS r FROM (SELECT ch, lead(ch, 1) OVER o AS n1, lead(ch, 2) OVER o AS n2, lead(ch, 3) OVER o AS n3, coalesce(lag(ch) OVER o, ' ') AS l FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE n2 IS NOT NULL),
 k AS (SELECT gram, CASE WHEN regexp_matches(gram, '^[^\p{L}\p{Nd}\x20]') THEN 'beg_punct' WHEN regexp_matches(gram, '[^\p{L}\p{Nd}\x20]$') THEN 'end_punct'
   WHEN regexp_matches(gram, '[^\p{L}\p{Nd}\x20]') THEN 'mid_punct' WHEN gram[1] = ' ' THEN 'space_prefix' WHEN gram[3] = ' ' THEN 'space_suffix' WHEN contains(gram, ' ') THEN 'multi_word'
   WHEN NOT regexp_matches(l, '[\p{L}\p{Nd}]') AND NOT regexp_matches(r, '[\p{L}\p{Nd}]') THEN 'whole_word' WHEN NOT regexp_matches(l, '[\p{L}\p{Nd}]') THEN 'prefix'
@@ -214,7 +214,7 @@ _KIND = {"heading": r"^#{1,6}\x20", "rule": r"^(-{3,}|\*{3,}|_{3,})$", "bullet":
 
 @query(rf"""WITH {TOK}, l AS (SELECT doc_id, regexp_replace(line, '^[\x20\x09]+|[\x20\x09\x0D]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 k AS (SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(line, {_q(p)}) THEN '{k}'" for k, p in _KIND.items())} END AS kind FROM l WHERE line != ''),
-c AS (SELECT doc_id, count(*) AS lines, count(kind) AS structured, {', '.join(f"count_if(kind = '{k}') AS k_{k}" for k in _KIND)} FROM k GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS lines, count(kind) AS structured, {', '.join(f"coalesce(count_if(kind = '{k}'), 0) AS k_{k}" for k in _KIND)} FROM k GROUP BY doc_id),
 j AS (SELECT *, {_n(r'\*\*')} // 2 AS bold, {_count('`')} // 2 AS code, {_count('*')} // 2 AS stars FROM sized JOIN c USING (doc_id)) """ + _long(
     {f"md:{k}_rate": f"1000.0 * k_{k} / n" for k in _KIND} | {f"md:{k}_rate": f"1000.0 * {k} / n" for k in ("bold", "code")} | {"md:italic_rate": "1000.0 * greatest(0, stars - 2 * bold) / n", "md:structured_line_share": "structured / lines"}, "j"
 ))
@@ -312,7 +312,7 @@ def family_confidence(spark, sf):
     return features.confidence(documents(spark, sf))
 
 
-_MARK = f"WITH {TOK}, v AS ({_long({f'punct:{m}_rate': f'1000.0 * {_count(c)} / n' for m, c in W.MARKS.items()}, 'sized').replace('round((', '((').replace('::DOUBLE, 6)', '::DOUBLE)')})"
+_MARK = f"WITH {TOK}, v AS ({_long({f'punct:{m}_rate': f'1000.0 * {_count(c)} / n' for m, c in W.MARKS.items()}, 'sized').replace('round((', '((').replace('::DOUBLE, 6) + 0.0', '::DOUBLE)')})"
 
 
 @query(f"""{_MARK} SELECT dim, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round(greatest(coalesce(stddev_samp(value), 0), 0.5), 6) AS scale, round(min(value), 6) AS min, round(max(value), 6) AS max,
@@ -381,7 +381,7 @@ def author_contributions(spark, sf):
 
 
 @query(f"""{_Z}, q AS (SELECT d.author AS a, d.term, abs(d.z - x.z) / 50 AS ca, abs(d.z - y.z) / 50 AS cb FROM z d JOIN z x ON x.term = d.term AND x.author = 'src1' JOIN z y ON y.term = d.term AND y.author = 'src2' WHERE d.author = 'src0')
-SELECT term AS dim, round(cb - ca, 6) AS pull FROM q""")
+SELECT term AS dim, round(cb - ca, 6) + 0.0 AS pull FROM q""")
 def classify_between_authors(spark, sf):
     z, _, _ = _author_vectors(spark, sf)
     side = lambda name: distance.pairs(z.where("id = 'src0'"), z.where(F.col("id") == name), "z")
@@ -393,7 +393,7 @@ _ODDS = f"""WITH {TOK}, {{terms}}, c AS (SELECT term, count_if(quality = 1) AS n
 s AS (SELECT *, sum(n_a) OVER ()::DOUBLE AS ta, sum(n_b) OVER ()::DOUBLE AS tb, sum(n_a + n_b + 0.5) OVER ()::DOUBLE AS tp FROM c),
 o AS (SELECT *, least(ta, tb) AS size, least(ta, tb) * (n_a + n_b + 0.5) / tp AS alpha FROM s),
 m AS (SELECT term, n_a, n_b, df, ln((n_a + alpha) / (ta + size - n_a - alpha)) - ln((n_b + alpha) / (tb + size - n_b - alpha)) AS delta, 1 / (n_a + alpha) + 1 / (n_b + alpha) AS variance FROM o WHERE n_a + n_b >= 5)"""
-_ODDS_OUT = " SELECT term, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, df::BIGINT AS df, round(delta, 6) AS delta, round(variance, 6) AS variance, round(delta / sqrt(variance), 6) AS z FROM m"
+_ODDS_OUT = " SELECT term, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, df::BIGINT AS df, round(delta, 6) + 0.0 AS delta, round(variance, 6) AS variance, round(delta / sqrt(variance), 6) + 0.0 AS z FROM m"
 
 
 def _sides(spark: SparkSession, sf_dir: str, kind: str = "word", n: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -415,7 +415,7 @@ def contrast_bigrams(spark, sf):
     return rounded(contrast.log_odds(*_sides(spark, sf, "word", 2)))
 
 
-@query(_ODDS.replace("{terms}", "t AS (SELECT doc_id, w AS term FROM tok)") + " SELECT term, round(delta / sqrt(variance), 6) AS z FROM m WHERE abs(delta / sqrt(variance)) >= 3")
+@query(_ODDS.replace("{terms}", "t AS (SELECT doc_id, w AS term FROM tok)") + " SELECT term, round(delta / sqrt(variance), 6) + 0.0 AS z FROM m WHERE abs(delta / sqrt(variance)) >= 3")
 def contrast_vocabulary(spark, sf):
     return rounded(contrast.to_vocabulary(contrast.log_odds(*_sides(spark, sf)), 3.0))
 
@@ -430,7 +430,8 @@ def _surp_dims(prefix: str) -> dict[str, str]:
     return {f"{prefix}_mean": "mean", f"{prefix}_stddev": "sqrt(v)", f"{prefix}_variance": "v", f"{prefix}_fano": "CASE WHEN mean > 0 THEN v / mean ELSE 0 END", f"{prefix}_p10": "p10", f"{prefix}_p90": "p90", f"{prefix}_autocorr": "CASE WHEN var > 1e-9 THEN cov / var ELSE 0 END", f"{prefix}_low_share": "low"}
 
 
-@query("WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), u AS (SELECT doc_id, i, substr(t, i - 2, 2) AS context, substr(t, i, 1) AS unit FROM (SELECT doc_id, t, unnest(range(3, length(t) + 1)) AS i FROM t))" + _SURP + _long(_surp_dims("surp:char"), "g"))
+@query("""WITH e AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), '') AS c FROM documents)),
+u AS (SELECT doc_id, i, p2 || p1 AS context, ch AS unit FROM (SELECT doc_id, i, ch, lag(ch) OVER o AS p1, lag(ch, 2) OVER o AS p2 FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE p2 IS NOT NULL)""" + _SURP + _long(_surp_dims("surp:char"), "g"))
 def char_surprisal(spark, sf):
     units = surprisal.char_units(documents(spark, sf))
     return rounded(surprisal.series(surprisal.score(units, surprisal.fit(units)), 2.0))

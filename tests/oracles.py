@@ -22,7 +22,10 @@ def rows(frame):
 
 
 def differences(spark, connection, query, sql, sf_dir):
-    got, expected = query(spark, sf_dir).toPandas(), connection.sql(sql).df()
+    began = time.time()
+    expected = connection.sql(sql).df()
+    print(f"     SQL {time.time() - began:.1f}")
+    got = query(spark, sf_dir).toPandas()
     if sorted(got.columns) != sorted(expected.columns):
         return f"columns {sorted(got.columns)} {sorted(expected.columns)}"
     a, b = rows(got), rows(expected)
