@@ -1,6 +1,4 @@
 """All queries of the library proper, and their SQL."""
 
-from penstroke.plans import lexical
-
-QUERIES = {**lexical.QUERIES}
-ORACLES = {**lexical.ORACLES}
+from penstroke.plans import cleaning, lexical  # noqa: F401  (each adds its queries)
+from penstroke.plans.lexical import ORACLES, QUERIES  # noqa: F401
