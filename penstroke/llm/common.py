@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -52,7 +54,14 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), data)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on from stage to stage, beside the heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut to runs of rows of about `size` bytes of a text column: bounds the working arrays."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -61,6 +70,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 2 <
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+        release()
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

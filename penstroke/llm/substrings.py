@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstroke.llm.common import WEIGHTS, byte_view, chunks, mix, parallelism, row_numbers, settle, table, texts_of
+from penstroke.llm.common import WEIGHTS, byte_view, chunks, mix, parallelism, release, row_numbers, settle, table, texts_of
 from penstroke.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -321,6 +321,7 @@ def _meet_surroundings(group: pa.Table) -> pa.Table:
     if len(single):
         later = ~_first_of(single["key"], single["more"])
         out.append(_spans(single["doc"][later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH))
+    release()
     return _table(0, np.concatenate(out))
 
 
