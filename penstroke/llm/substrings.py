@@ -110,7 +110,7 @@ def _table(kind: int, values: np.ndarray) -> pa.Table:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """kind 0: (doc, places of anchors whose gram occurs again); kind 1: (gram, number of occurrences) of grams with over HOT."""
+    """kind 0: blobs of places of anchors whose gram occurs again, dealt by document; kind 1: (gram, number of occurrences) of grams with over HOT."""
 
     def settle_batch(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(found)
@@ -154,11 +154,23 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         grams = np.empty(int(hot.sum()), np.dtype([("key", "<u8"), ("n", "<i8")]))
         grams["key"], grams["n"] = every["key"][first][hot], total[hot]
         listed = pa.table({"kind": pa.array([1] * len(grams), pa.int32()), "bucket": pa.array([0] * len(grams), pa.int64()), "blob": pa.array([g.tobytes() for g in grams], pa.binary())})
-        return pa.concat_tables([_table(0, np.concatenate((places, _read(group, 1, PLACE)))), listed])
+        every = np.concatenate((places, _read(group, 1, PLACE)))
+        return pa.concat_tables([*(pa.Table.from_batches([b]) for b in _deal(0, every, every["doc"].astype(np.uint64), buckets)), listed])
 
     return docs.mapInArrow(run, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA)
 
 
+def by_document(dealt: DataFrame, shape: np.dtype) -> DataFrame:
+    """(kind, doc, blob) for each document in blobs of many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                yield from _table(0, np.frombuffer(blob, shape)).to_batches()
+
+    return dealt.select("blob").mapInArrow(run, SCHEMA)
+
+
 def _window_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hash of the LENGTH bytes from each position on, of the grams that cover them."""
     grams, n = gram_hashes(flat, seed=20), len(flat) - LENGTH + 1
@@ -329,13 +341,13 @@ def removed_spans(docs: DataFrame, key: str) -> DataFrame:
     """(key, __spans): blobs of SPAN of every document with a byte to remove; key is a column of docs (long, no null) beside text."""
     keyed = docs.select(key, F.col("text").cast("string").alias("text"))
     total = keyed.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * parallelism(docs), total // 30 // BUCKET)
+    buckets = max(parallelism(docs), total // 30 // BUCKET)
     found = settle(repeated_anchors(keyed, buckets))
     limit = max(HOT, total // 30 // HOT_SHARE)
     entries = np.dtype([("key", "<u8"), ("n", "<i8")])
     grams = [np.frombuffer(r.blob, entries)[0] for r in found.where("kind = 1").select("blob").toLocalIterator()]
     hot = np.sort(np.array([g["key"] for g in grams if g["n"] > limit], np.uint64))
-    places = found.where("kind = 0").groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__places"))
+    places = by_document(found.where("kind = 0"), PLACE).groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__places"))
     # The join takes all columns of docs, so that the one which applies the spans reuses its exchange of the texts.
     met = surroundings(docs.join(places, key).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets).groupBy("bucket").applyInArrow(_meet_surroundings, SCHEMA)
     return met.groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__spans"))
