@@ -91,7 +91,7 @@ def strip_licence(text: Column) -> tuple[Column, Column]:
     """The text after its last start marker and before the first end marker that follows, and whether there were markers."""
     start, end = r"(?s)^.*\*\*\* ?START OF[^\n]*\n", r"(?s)\*\*\* ?END OF.*$"
     cut = F.regexp_replace(F.regexp_replace(text, start, ""), end, "")
-    return F.trim(cut), cut != text
+    return F.regexp_replace(cut, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), cut != text
 
 
 def is_chapter_heading(line: Column) -> Column:

@@ -46,6 +46,11 @@ def ratio(count: Column, size: Column) -> Column:
     return F.when(size > 0, count / size).otherwise(0.0)
 
 
+def occurrences(forms: str, word: str) -> Column:
+    """How often a word is in a column of tokens."""
+    return F.size(F.filter(forms, lambda w: w == word))
+
+
 def syllables(word: Column) -> Column:
     """Vowel groups, less a silent final e (not after a consonant and l), at least 1; 0 of an empty word."""
     letters = F.regexp_replace(word, r"[^\p{L}]", "")

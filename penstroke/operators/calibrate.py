@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penstroke.functions.text import token_array
+from penstroke.functions.text import occurrences, token_array
 from penstroke.operators.distance import distances
 
 
@@ -24,7 +24,7 @@ def windows(docs: DataFrame, size: int, per_author: int, seed: int) -> DataFrame
 def profiles(samples: DataFrame, vocabulary: list[str], stats: DataFrame) -> DataFrame:
     """(id, author, dim, z) of samples (doc_id, author, ws) over vocabulary words, against stats (dim, mean, scale)."""
     n = F.size("ws")
-    rates = F.array(*(F.struct(F.lit(v).alias("dim"), (F.size(F.filter("ws", lambda w, v=v: w == v)) / n).alias("value")) for v in vocabulary))
+    rates = F.array(*(F.struct(F.lit(v).alias("dim"), (occurrences("ws", v) / n).alias("value")) for v in vocabulary))
     each = samples.select(F.col("doc_id").alias("id"), "author", F.explode(rates).alias("r")).select("id", "author", "r.*")
     return each.join(F.broadcast(stats.select("dim", "mean", "scale")), "dim").select("id", "author", "dim", ((F.col("value") - F.col("mean")) / F.col("scale")).alias("z"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstroke.functions import words as W
-from penstroke.functions.text import token_array
+from penstroke.functions.text import occurrences, token_array
 
 SEVERITIES = ("low", "medium", "high")
 LEAST_DEVIATION = 0.05
@@ -73,6 +73,6 @@ def rolling(docs: DataFrame, vocabulary: list[str], target: DataFrame, size: int
     """(doc_id, start, distance): Burrows distance of each overlapping window of tokens to target (dim, mean, scale, z)."""
     held = docs.select("doc_id", token_array(F.col("text")).alias("ws")).where(F.size("ws") >= size)
     cut = held.select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - size, F.lit(step))).alias("start")).select("doc_id", "start", F.slice("ws", F.col("start") + 1, size).alias("ws"))
-    rates = F.array(*(F.struct(F.lit(v).alias("dim"), (F.size(F.filter("ws", lambda w, v=v: w == v)) / size).alias("value")) for v in vocabulary))
+    rates = F.array(*(F.struct(F.lit(v).alias("dim"), (occurrences("ws", v) / size).alias("value")) for v in vocabulary))
     each = cut.select("doc_id", "start", F.explode(rates).alias("r")).select("doc_id", "start", "r.*").join(F.broadcast(target), "dim")
     return each.groupBy("doc_id", "start").agg(F.avg(F.abs((F.col("value") - F.col("mean")) / F.col("scale") - F.col("z"))).alias("distance"))

@@ -113,12 +113,6 @@ def openers(docs: DataFrame) -> DataFrame:
     return hits.join(total, "doc_id").select("doc_id", F.concat(F.lit("sent:opener:"), F.translate("head", " ", "_")).alias("dim"), (F.lit(100.0) * F.col("count") / F.col("n")).alias("value"))
 
 
-def list_rates(docs: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
-    """Tokens of each list per 1,000 tokens (every list, 0 included), in one pass over the tokens."""
-    sized = _sized(docs).where("n > 0")
-    return unpivot(sized, "doc_id", {name: per_1k(F.size(F.filter("forms", lambda w, items=items: w.isin(items))), F.col("n")) for name, items in lists.items()})
-
-
 def markers(docs: DataFrame) -> DataFrame:
     """Discourse markers per 1,000 tokens; those that do not occur are left out."""
     each = tokens(docs).groupBy("doc_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("w") == m).alias(m) for m in W.MARKERS))
