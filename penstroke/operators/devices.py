@@ -25,7 +25,7 @@ FROZEN = ("as good as gold", "as clear as day", "as old as time", "like a charm"
 
 def _sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), token_array(F.col("text")).alias("forms")).withColumn("n", F.size("forms")).where("n > 0").withColumn("line", F.concat(F.lit(" "), F.array_join("forms", " "), F.lit(" ")))
+    return docs.select("doc_id", text.alias("text"), token_array(F.col("text")).alias("forms")).where(F.regexp("text", F.lit(r"[\p{L}\p{Nd}_]"))).withColumn("n", F.size("forms")).withColumn("line", F.concat(F.lit(" "), F.array_join("forms", " "), F.lit(" ")))
 
 
 def _hits(pattern: str, column: str = "line") -> Column:

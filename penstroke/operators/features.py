@@ -9,14 +9,16 @@ from penstroke.functions import words as W
 from penstroke.functions.text import count_of, per_1k, ratio, sentences, syllables, token_array, tokens, unpivot
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, lexical: bool = False) -> DataFrame:
+    """(doc_id, text, forms, n); lexical: of documents with a token, found by their first character of one."""
+    docs = docs.where(F.regexp("text", F.lit(r"[\p{L}\p{Nd}_]"))) if lexical else docs
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), token_array(F.col("text")).alias("forms")).withColumn("n", F.size("forms"))
 
 
 def mark_rates(docs: DataFrame) -> DataFrame:
     """Each punctuation mark per 1,000 tokens."""
-    return unpivot(_sized(docs).where("n > 0"), "doc_id", {f"punct:{name}_rate": per_1k(count_of(F.col("text"), chars), F.col("n")) for name, chars in W.MARKS.items()})
+    return unpivot(_sized(docs, True), "doc_id", {f"punct:{name}_rate": per_1k(count_of(F.col("text"), chars), F.col("n")) for name, chars in W.MARKS.items()})
 
 
 def style_ratios(docs: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def style_ratios(docs: DataFrame) -> DataFrame:
     n = lambda pattern: F.regexp_count(F.col("text"), F.lit(pattern))
     share = lambda a, b: ratio(n(a), n(b))
     spaced, serial, both = n(r"\x20—\x20"), n(r",\x20and\x20") + n(r",\x20or\x20"), n(r"\x20and\x20") + n(r"\x20or\x20")
-    return unpivot(_sized(docs).where("n > 0"), "doc_id", {
+    return unpivot(_sized(docs, True), "doc_id", {
         "punct:style:em_dash_spaced": ratio(spaced, n("—")), "punct:style:dash_em_share": share("—", "[—–-]"), "punct:style:quote_curly_share": share("[“”]", '["“”]'),
         "punct:style:apostrophe_curly_share": share(r"\p{L}’\p{L}", r"\p{L}['’]\p{L}"), "punct:style:ellipsis_char_share": ratio(n("…"), n("…") + n(r"\.\.\.")),
         "punct:style:serial_comma_share": ratio(serial, both), "punct:style:double_space_after_period": share(r"[.!?]\x20\x20\p{L}", r"[.!?]\x20+\p{L}"),
@@ -41,7 +43,7 @@ def informality(docs: DataFrame) -> DataFrame:
         "missing_apostrophe": among(W.MISSING_APOSTROPHE), "common_misspelling": among(W.MISSPELLINGS),
         "elongated_punct": F.regexp_count("text", F.lit(r"!{2,}|\?{2,}")), "lowercase_i": F.regexp_count("text", F.lit(r"(^|\x20)i(\x20|$)")),
     }
-    sized = _sized(docs).where("n > 0").select("doc_id", "n", *(c.alias(k) for k, c in counts.items()))
+    sized = _sized(docs, True).select("doc_id", "n", *(c.alias(k) for k, c in counts.items()))
     total = sum((F.col(k) for k in counts), F.lit(0))
     return unpivot(sized, "doc_id", {f"punct:informal:{k}": per_1k(F.col(k), F.col("n")) for k in counts} | {"punct:informal:total": per_1k(total, F.col("n"))})
 
@@ -49,7 +51,7 @@ def informality(docs: DataFrame) -> DataFrame:
 def kinds(docs: DataFrame) -> DataFrame:
     """Capitals, contractions and numbers per 1,000 tokens."""
     raw = F.regexp_extract_all("text", F.lit(f"({W.TOKEN})"), 1)
-    sized = _sized(docs).where("n > 0").withColumn("raw", raw)
+    sized = _sized(docs, True).withColumn("raw", raw)
     number = F.size(F.filter("forms", lambda w: F.regexp(w, F.lit(r"\p{Nd}")) & ~F.regexp(w, F.lit(r"\p{L}"))))
     return unpivot(sized, "doc_id", {
         "punct:allcaps_rate": per_1k(F.size(F.filter("raw", lambda w: F.regexp(w, F.lit(r"^\p{Lu}[\p{Lu}\p{Nd}]*\p{Lu}[\p{Lu}\p{Nd}]*$")))), F.col("n")),
@@ -92,7 +94,7 @@ def sentence_dispersion(docs: DataFrame, least: int = 4) -> DataFrame:
 
 def sentence_counts(docs: DataFrame) -> DataFrame:
     """Sentences per 1,000 tokens, clause marks and commas per sentence, and paragraph sizes."""
-    sized = _sized(docs).where("n > 0")
+    sized = _sized(docs, True)
     s = F.size(F.filter(F.regexp_extract_all("text", F.lit(f"({W.SENTENCE})"), 1), lambda x: F.regexp(x, F.lit(r"[\p{L}\p{Nd}_]"))))
     paragraphs = F.size(F.filter(F.split("text", "\n[\\x20\\x09]*\n"), lambda x: F.regexp(x, F.lit(r"[\p{L}\p{Nd}_]"))))
     counted = sized.select("doc_id", "text", "n", s.alias("s"), paragraphs.alias("p"))
@@ -129,7 +131,7 @@ def markdown(docs: DataFrame) -> DataFrame:
     marks = ("heading", "rule", "bullet", "numbered", "quote", "table")
     counted = lines.withColumn("kind", kind).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count("kind").alias("structured"), *(F.count_if(F.col("kind") == m).alias(m) for m in marks))
     bold = F.floor(F.regexp_count("text", F.lit(r"\*\*")) / 2)
-    sized = _sized(docs).where("n > 0").select("doc_id", "n", bold.alias("bold"), F.floor(count_of(F.col("text"), "`") / 2).alias("code"), F.greatest(F.lit(0), F.floor(count_of(F.col("text"), "*") / 2) - 2 * bold).alias("italic"))
+    sized = _sized(docs, True).select("doc_id", "n", bold.alias("bold"), F.floor(count_of(F.col("text"), "`") / 2).alias("code"), F.greatest(F.lit(0), F.floor(count_of(F.col("text"), "*") / 2) - 2 * bold).alias("italic"))
     joined = sized.join(counted, "doc_id")
     return unpivot(joined, "doc_id", {f"md:{m}_rate": per_1k(F.col(m), F.col("n")) for m in (*marks, "bold", "code", "italic")} | {"md:structured_line_share": ratio(F.col("structured"), F.col("lines"))})
 
@@ -199,7 +201,7 @@ def readability(docs: DataFrame, least: int = 4) -> DataFrame:
 
 def register(docs: DataFrame) -> DataFrame:
     """Closed classes, negation and nominalisation per 1,000 tokens, mean word length, and two composites."""
-    sized = _sized(docs).where("n > 0")
+    sized = _sized(docs, True)
     among = lambda items: F.size(F.filter("forms", lambda w: w.isin(items)))
     nominal = F.size(F.filter("forms", lambda w: (F.length(w) >= 6) & F.regexp(w, F.lit(f"({'|'.join(W.NOMINAL_SUFFIXES)})$")) & ~w.isin(W.NOT_NOMINAL)))
     counts = {name: among(items.split()) for name, items in W.REGISTER.items()} | {"analytic_negation_rate": F.size(F.filter("forms", lambda w: (w == "not") | F.regexp(w, F.lit("n['’]t$")))), "nominalization_rate": nominal}
