@@ -154,21 +154,24 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         grams = np.empty(int(hot.sum()), np.dtype([("key", "<u8"), ("n", "<i8")]))
         grams["key"], grams["n"] = every["key"][first][hot], total[hot]
         listed = pa.table({"kind": pa.array([1] * len(grams), pa.int32()), "bucket": pa.array([0] * len(grams), pa.int64()), "blob": pa.array([g.tobytes() for g in grams], pa.binary())})
-        every = np.concatenate((places, _read(group, 1, PLACE)))
-        return pa.concat_tables([*(pa.Table.from_batches([b]) for b in _deal(0, every, every["doc"].astype(np.uint64), buckets)), listed])
+        return pa.concat_tables([_dealt(np.concatenate((places, _read(group, 1, PLACE))), buckets), listed])
 
     return docs.mapInArrow(run, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA)
 
 
 def by_document(dealt: DataFrame, shape: np.dtype) -> DataFrame:
-    """(kind, doc, blob) for each document in blobs of many."""
+    """(kind, doc, blob): one row for each document, of blobs dealt by document."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        return _table(0, np.concatenate([np.frombuffer(b, shape) for b in group.column("blob").to_pylist()]))
+
+    return dealt.groupBy("bucket").applyInArrow(merge, SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield from _table(0, np.frombuffer(blob, shape)).to_batches()
 
-    return dealt.select("blob").mapInArrow(run, SCHEMA)
+def _dealt(values: np.ndarray, buckets: int) -> pa.Table:
+    """Blobs of values dealt by document."""
+    kinds = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
+    return pa.Table.from_batches(list(_deal(0, values, values["doc"].astype(np.uint64), buckets)), kinds)
 
 
 def _window_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +317,7 @@ def repeats(rows: np.ndarray) -> np.ndarray:
     return _spans(rows["doc"][gone], at - highest[gone], at - lowest[gone] + LENGTH)
 
 
-def _meet_surroundings(group: pa.Table) -> pa.Table:
+def _meet_surroundings(group: pa.Table, buckets: int) -> pa.Table:
     rows = _read(group, 0, AROUND)
     rows = rows[np.lexsort((rows["at"], rows["doc"]))]
     out = [_read(group, 1, SPAN)]
@@ -334,7 +337,7 @@ def _meet_surroundings(group: pa.Table) -> pa.Table:
         later = ~_first_of(single["key"], single["more"])
         out.append(_spans(single["doc"][later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH))
     release()
-    return _table(0, np.concatenate(out))
+    return _dealt(np.concatenate(out), buckets)
 
 
 def removed_spans(docs: DataFrame, key: str) -> DataFrame:
@@ -347,10 +350,11 @@ def removed_spans(docs: DataFrame, key: str) -> DataFrame:
     entries = np.dtype([("key", "<u8"), ("n", "<i8")])
     grams = [np.frombuffer(r.blob, entries)[0] for r in found.where("kind = 1").select("blob").toLocalIterator()]
     hot = np.sort(np.array([g["key"] for g in grams if g["n"] > limit], np.uint64))
-    places = by_document(found.where("kind = 0"), PLACE).groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__places"))
+    places = by_document(found.where("kind = 0"), PLACE).select(F.col("bucket").alias(key), F.array("blob").alias("__places"))
     # The join takes all columns of docs, so that the one which applies the spans reuses its exchange of the texts.
-    met = surroundings(docs.join(places, key).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets).groupBy("bucket").applyInArrow(_meet_surroundings, SCHEMA)
-    return met.groupBy(F.col("bucket").alias(key)).agg(F.collect_list("blob").alias("__spans"))
+    around = surroundings(docs.join(places, key).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets)
+    met = around.groupBy("bucket").applyInArrow(lambda group: _meet_surroundings(group, buckets), SCHEMA)
+    return by_document(met, SPAN).select(F.col("bucket").alias(key), F.array("blob").alias("__spans"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
