@@ -31,11 +31,16 @@ def settle(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="penstroke-"))
     out = df.checkpoint()
     del df
-    gc.collect()
-    context._jvm.System.gc()
+    drop_shuffles(out)
     return out
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Have the driver collect its garbage, and with it delete the shuffle files that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def parallelism(df: DataFrame, at_least: int = 1) -> int:
     """Shuffle partitions of the session, the knob a deployment sizes to its input."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

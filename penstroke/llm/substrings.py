@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstroke.llm.common import WEIGHTS, byte_view, chunks, mix, parallelism, release, row_numbers, settle, table, texts_of
+from penstroke.llm.common import WEIGHTS, byte_view, chunks, drop_shuffles, mix, parallelism, release, row_numbers, settle, table, texts_of
 from penstroke.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -349,6 +349,7 @@ def removed_spans(docs: DataFrame, key: str) -> DataFrame:
     limit = max(HOT, total // 30 // HOT_SHARE)
     entries = np.dtype([("key", "<u8"), ("n", "<i8")])
     grams = [np.frombuffer(r.blob, entries)[0] for r in found.where("kind = 1").select("blob").toLocalIterator()]
+    drop_shuffles(found)  # of the anchors, which are checkpointed
     hot = np.sort(np.array([g["key"] for g in grams if g["n"] > limit], np.uint64))
     places = by_document(found.where("kind = 0"), PLACE).select(F.col("bucket").alias(key), F.array("blob").alias("__places"))
     # The join takes all columns of docs, so that the one which applies the spans reuses its exchange of the texts.
