@@ -3,8 +3,9 @@
 A document is its set of word 5-grams. Sets A and B with a Jaccard similarity of 0.8 differ in at most
 D = (|A| + |B|) / 9 elements. Each element flips one bit of a wide sketch that is cut into P parts, so
 the sketches' Hamming distance, and with it the number of parts that differ, is at most |A - B| + |B - A|.
-P is a power of two by the size band, from 0.3 of a band's size; a document emits its band's parts and, where
-a set up to a quarter larger falls into the next band, that band's too.
+P is a power of two by the size band, from 0.3 of a band's size (from the whole size below 64, so that P falls once, at
+64); a document emits its band's parts and, where a set a quarter larger falls into another band, that band's too. No more
+than one edge lies within a quarter, so any set up to a quarter larger is in one of the two bands.
 
 Of its parts that are not empty a document emits the first |A| / 4 + 1 (D is at most |A| / 4). Then the first
 part in which both agree is emitted by both: all parts before it that either holds differ, so they are D at most.
@@ -156,7 +157,7 @@ def part_keys(found: np.ndarray, edges: np.ndarray, hot: np.ndarray) -> tuple[np
     size = np.diff(edges)
     out_row, out_key = [], []
     near, far = level(size), level(size * 5 // 4)
-    for rows, power in ((np.flatnonzero(size > 0), near), (np.flatnonzero((size > 0) & (far > near)), far)):
+    for rows, power in ((np.flatnonzero(size > 0), near), (np.flatnonzero((size > 0) & (far != near)), far)):
         family = 0
         while len(rows):
             n = size[rows]
