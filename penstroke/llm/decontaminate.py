@@ -146,11 +146,12 @@ def find(texts: pa.Array, index: list[dict]) -> list[tuple[int, int, int, int, i
         segment, place, position = part["segment"][entry], part["place"][entry], np.repeat(hit, n)
         step = int(part["edits"].max()) + 1
         diagonal = position - place + 2 * SEGMENT  # over 0, and so is its band
-        key = np.concatenate([(segment.astype(np.int64) << 40) + diagonal // step - back for back in (0, 1)])
+        bands = int(diagonal.max()) // step + 1
+        key = np.concatenate([segment.astype(np.int64) * bands + diagonal // step - back for back in (0, 1)])
         where = np.concatenate([place, place])
         pairs = np.unique(key << 8 | where)  # a q-gram of a segment counts once in a band
         key, count = np.unique(pairs >> 8, return_counts=True)
-        segment, band = key >> 40, key & ((1 << 40) - 1)
+        segment, band = np.divmod(key, bands)
         enough = count >= part["needed"][segment]
         segment, band = segment[enough], band[enough]
         begin = band * step - 2 * SEGMENT - step
