@@ -174,3 +174,11 @@ def vector_distances(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
     paired = distance.pairs(vectors.where("id < 5"), vectors, "v")  # five query vectors against all
     return paired.groupBy("a", "b").agg(F.round(F.sum(F.abs(F.col("x") - F.col("y"))), 4).alias("l1"), (F.round(F.sum(F.col("x") * F.col("y")), 4) + F.lit(0.0)).alias("dot"))
+
+
+@query()
+def vector_distances_every_50th(spark, sf):
+    """Each vector whose vec_id is divisible by 50 against all."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = distance.dense_pairs(vectors.where("id % 50 = 0"), vectors)
+    return found.select("a", "b", F.round("l1", 4).alias("l1"), (F.round("dot", 4) + F.lit(0.0)).alias("dot"))
