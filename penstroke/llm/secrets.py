@@ -79,7 +79,7 @@ def identifiers(words: list[str], n: int = SAMPLES, seed: int = 11) -> list[str]
 def fit(docs: DataFrame, n: int = SAMPLES) -> np.ndarray:
     """Log ratio of the two models' probabilities. The n words come first in the order of a hash over all documents' words."""
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col("text").cast("string"), F.lit("([A-Za-z]{3,24})"), 1))).alias("word"))
-    drawn = words.where("abs(xxhash64(word)) % 64 = 0").groupBy("word").count().where("count > 1").orderBy(F.xxhash64("word"), "word").limit(n)
+    drawn = words.groupBy("word").count().where("count > 1").orderBy(F.xxhash64("word"), "word").limit(n)
     return train(random_strings()) - train(identifiers([row.word for row in drawn.collect()]))
 
 
