@@ -25,8 +25,9 @@ the centre. Let d(x) be the elements in which x and its centre c differ. If x is
 but x and y are, then d(x) and d(y) share at least (9 |d(x)| + 9 |d(y)| - |x| - |y|) / 18 elements, and never none. So by the
 principle of prefixes each emits only so many of its differing elements, those which few share first, as keys (c, element): of two open
 sets each the first |d| + 1 - (9 |d| - |x| + |c|) / 18, rounded; the same number for a set close to c; and an open set, to meet
-the close ones (which have 1.25 |x| and 1.25 |c| elements at most), the first |d| + 1 - (9 |d| - |x| - 1.25 min(|x|, |c|)) / 9. Keys with
-many pairs become stars again, with their least set as the centre; it comes after c in one order of all sets, so this ends.
+the close ones (which have 1.25 |x| and 1.25 |c| elements at most), the first |d| + 1 - (9 |d| - |x| - 1.25 min(|x|, |c|)) / 9. Two sets of
+a key whose ranks leave too few elements to share are no candidates. Keys with many pairs become stars again, with their least
+set as the centre; it comes after c in one order of all sets, so this ends.
 
 Degenerate rows: null and empty texts, and those without words, have no shingle and link with nothing; repeated
 rows of a doc_id are taken once (texts that differ under one doc_id: the first by text); rows with a null doc_id are each
@@ -54,8 +55,8 @@ LEAST = 80
 #: A shingle is frequent if batches in which more than RATE of the rows (two at least) have it add up to FREQUENT rows; the
 #: FREQUENT_KEPT most frequent are kept (16 MB). This only decides what comes first, not what is found.
 RATE, FREQUENT, FREQUENT_KEPT = 0.0004, 16, 2_000_000
-#: Sets of a key that are all paired.
-SMALL = 32
+#: Sets of a key that are all paired; and those of a key of differing elements that are all compared.
+SMALL, MANY = 32, 512
 #: Keys that one bucket aims to hold.
 BUCKET = 400_000
 #: Pairs of one document that are verified together.
@@ -222,8 +223,8 @@ def part_keys(found: np.ndarray, edges: np.ndarray, hot: np.ndarray) -> tuple[np
 
 
 KEY = np.dtype([("key", "<u8"), ("set", "<u8"), ("order", "<u8")])
-#: An element in which a set (id, of n elements) and its centre differ, d in all; role: see `delta_keys`.
-DELTA = np.dtype([("key", "<u8"), ("id", "<i8"), ("order", "<u8"), ("n", "<u4"), ("d", "<u4"), ("role", "u1")])
+#: An element in which a set (id, of n elements) and its centre differ, by rank of d in all; role: see `delta_keys`.
+DELTA = np.dtype([("key", "<u8"), ("id", "<i8"), ("order", "<u8"), ("n", "<u4"), ("d", "<u4"), ("rank", "<u4"), ("role", "u1")])
 
 
 def _blobs(values: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -326,31 +327,40 @@ def delta_keys(centre: np.ndarray, held: np.ndarray, name: int, hot: np.ndarray)
     out = np.empty(int((role > 0).sum()), DELTA)
     with np.errstate(over="ignore"):
         out["key"] = mix(element[role > 0] ^ mix(np.array([name], np.int64).view(np.uint64)))
-    out["role"], out["n"], out["d"] = role[role > 0], n, d
+    out["role"], out["rank"], out["n"], out["d"] = role[role > 0], rank[role > 0], n, d
     return out, d
 
 
-def meet_deltas(dealt: DataFrame, small: int = SMALL) -> DataFrame:
-    """(kind, x, y): pairs and stars of the keys of each bucket, of doc_ids. A key is paired if its open sets make no more than
-    small / 2 pairs a member, and a star otherwise."""
+def can_share(d: np.ndarray, n: np.ndarray, rank: np.ndarray, role: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether similar sets i and j, of roles that meet, can have these ranks for the first differing element that they share."""
+    meets = (role[i] & role[j] & 1 > 0) | (role[i] & 2 > 0) & (role[j] & 4 > 0) | (role[i] & 4 > 0) & (role[j] & 2 > 0)
+    return meets & (9 * (d[i] + d[j]) - n[i] - n[j] <= 18 * np.minimum(d[i] - rank[i], d[j] - rank[j]))
+
+
+def meet_deltas(dealt: DataFrame, many: int = MANY) -> DataFrame:
+    """(kind, x, y): pairs and stars of the keys of each bucket, of doc_ids. The sets of a key are compared if its open sets make no
+    more than many / 2 pairs a member; otherwise the key is a star."""
 
     def run(group: pa.Table) -> pa.Table:
         values, first, n = _grouped(group, DELTA, "id")
         role, ids = values["role"], np.ascontiguousarray(values["id"])
         count = [np.add.reduceat((role & bit > 0).astype(np.int64), first) if len(first) else first for bit in (1, 2, 4)]
-        few = count[0] * (count[0] - 1) // 2 + count[1] * count[2] <= small // 2 * n
-        pairs, d, size = [], values["d"].astype(np.int64), values["n"].astype(np.int64)
+        few = count[0] * (count[0] - 1) // 2 + count[1] * count[2] <= many // 2 * n
+        d, size, rank = (values[c].astype(np.int64) for c in ("d", "n", "rank"))
+        pairs = []
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
-            meets = (role[i] & role[j] & 1 > 0) | (role[i] & 2 > 0) & (role[j] & 4 > 0) | (role[i] & 4 > 0) & (role[j] & 2 > 0)
-            meets &= 9 * (d[i] + d[j]) - size[i] - size[j] <= 18 * np.minimum(d[i], d[j])
+            meets = can_share(d, size, rank, role, i, j)
             pairs.append((ids[i[meets]], ids[j[meets]]))
 
-        short = np.repeat(few & (n <= small), n)
-        for step in range(1, min(small, int(n.max(initial=0)))):
-            at = np.flatnonzero((values["key"][step:] == values["key"][:-step]) & short[step:])
-            add(at, at + step)
-        for g in np.flatnonzero(few & (n > small)).tolist():
+        after = np.repeat(first + n, n)  # where a key ends
+        left = np.flatnonzero(np.repeat(few & (n <= many), n))
+        for step in range(1, many):
+            left = left[left + step < after[left]]
+            if not len(left):
+                break
+            add(left, left + step)
+        for g in np.flatnonzero(few & (n > many)).tolist():
             every = np.arange(first[g], first[g] + n[g])
             for i in every[role[every] & 3 > 0].tolist():
                 others = every[every != i]
@@ -451,12 +461,12 @@ def one_text(docs: DataFrame, measured: DataFrame) -> DataFrame | None:
     return docs.join(odd, "doc_id", "left_anti").select("doc_id", "text").unionByName(first)
 
 
-def similar(docs: DataFrame, small: int = SMALL) -> DataFrame:
+def similar(docs: DataFrame, small: int = SMALL, many: int = MANY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; docs has doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = settle(measure(docs))
     if (single := one_text(docs, measured)) is not None:
-        return similar(single, small)
+        return similar(single, small, many)
     nameless, docs = measured.where("kind = 0 AND doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
     frequent = measured.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s1").limit(FREQUENT_KEPT)
     hot = np.sort(np.array([r.s1 for r in frequent.select("s1").toLocalIterator()], np.int64).view(np.uint64))
@@ -469,17 +479,17 @@ def similar(docs: DataFrame, small: int = SMALL) -> DataFrame:
     now = settle(near_sketches(met, sets, "s1"))
     links = settle(verify(now.where("near").select("a", "b").distinct(), docs))
     stars = settle(now.where("kind = 1").select("a", "b").distinct())
+    fresh = stars
     while True:
-        open_ = stars.join(links, ["a", "b"], "left_anti").select("a").distinct()
+        # Centres with open members; those without a fresh one have been through this.
+        open_ = stars.join(links, ["a", "b"], "left_anti").select("a").distinct().join(fresh.select("a").distinct(), "a", "left_semi")
         group = settle(stars.join(open_, "a", "left_semi"))
         if not group.head(1):
             break
-        met = meet_deltas(deltas(group, docs, hot), small).distinct()
+        met = meet_deltas(deltas(group, docs, hot), many).distinct()
         now = settle(near_sketches(met, sets, "rep"))
         fresh = settle(now.where("kind = 1").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
         links = settle(links.union(verify(now.where("near").select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), docs)))
-        if not fresh.head(1):
-            break
         stars = settle(stars.union(fresh))
 
     reps = sizes.join(sets.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
