@@ -125,7 +125,7 @@ def test_suffix_array(symbols):
 
 def test_sentence_spans_equal_their_sql(docs, spark):
     frame = DOCS.copy()
-    line = "A sentence of some length here. Another one that follows it. And a third that ends it."
+    line = "A sentence of some length is here, first of four. Another one follows it. And there is a third that has a few more words. The fourth sentence ends the line here."
     frame = pd.concat([frame, pd.DataFrame({"doc_id": [900, 901, 902], "text": [line + " Own end.", "Own start. " + line, line + "\n" + line]})])
     duck = duckdb.connect()
     duck.register("documents", frame)
@@ -134,7 +134,7 @@ def test_sentence_spans_equal_their_sql(docs, spark):
     rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "doc_id long, text string")
     found = sentence_spans.dedupe(rows).selectExpr("doc_id", "n_sentences", "n_removed", "md5(coalesce(text, '')) AS kept_md5").toPandas()
     assert sorted(found[columns].itertuples(index=False, name=None)) == expected
-    assert dict(zip(found.doc_id, found.n_removed, strict=True))[902] == 6
+    assert dict(zip(found.doc_id, found.n_removed, strict=True))[902] == 2 * len(re.findall(sentence_spans.PIECE, line))
     assert sentence_spans.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
