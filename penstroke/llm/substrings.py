@@ -10,12 +10,13 @@ wherever it occurs (the last among equals): its anchor. A window can only repeat
    of those before it backwards, built by Lyndon-prefix groups over blocks of bytes as symbols, sort the surroundings;
    byte-wise common prefixes of neighbours then class every window by its part before the anchor and its part from the
    anchor on, and a window goes if its class has an earlier member.
-3. A gram with more than HOT occurrences (or a millionth of all anchors) has its windows dealt one by one, by the hash of
-   the window: the surroundings of a passage common to very many documents never meet in one task.
+3. A gram with more than HOT occurrences (the LISTED most frequent of them, should there be more) has its windows dealt one by
+   one, by the hash of the window: the surroundings of a passage common to very many documents never meet in one task.
 
 Degenerate rows: null and empty texts have no byte; rows with one doc_id are one document (equal texts are expected
-there; spans are cut to the row's own text), and a null doc_id is a document before all others; an empty table gives no
-rows; further columns are kept by `dedupe`, those named as its results replaced.
+there; spans are cut to the row's own text), so they remove nothing from each other at one place and lose the same bytes; a null
+doc_id is a document before all others; an empty table gives no rows; further columns are kept by `dedupe`, those named as
+its results replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
 #: Bytes that can stand before an anchor in its windows.
 LEFT = WINDOWS - 1
-HOT, HOT_SHARE = 2_000, 1_000_000
+HOT, LISTED = 2_000, 1_000_000
 BUCKET = 400_000
 SCHEMA = "kind int, bucket long, blob binary"
 
@@ -110,11 +111,12 @@ def _table(kind: int, values: np.ndarray) -> pa.Table:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """kind 0: blobs of places of anchors whose gram occurs again, dealt by document; kind 1: (gram, number of occurrences) of grams with over HOT."""
+    """kind 0: blobs of places of anchors whose gram occurs again, dealt by document; kind 1: grams with over HOT occurrences, their number in the place of the bucket."""
 
     def settle_batch(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(found)
         every = every[np.lexsort((every["at"], every["doc"], every["key"]))]
+        every = every[_first_of(every["key"], every["doc"], every["at"])] if len(every) else every
         first = np.flatnonzero(_first_of(every["key"])) if len(every) else np.zeros(0, np.int64)
         many = np.diff(np.append(first, len(every)))
         every["many"][first] = many
@@ -151,9 +153,8 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         for name in PLACE.names:
             places[name] = every[name][again]
         hot = total > HOT
-        grams = np.empty(int(hot.sum()), np.dtype([("key", "<u8"), ("n", "<i8")]))
-        grams["key"], grams["n"] = every["key"][first][hot], total[hot]
-        listed = pa.table({"kind": pa.array([1] * len(grams), pa.int32()), "bucket": pa.array([0] * len(grams), pa.int64()), "blob": pa.array([g.tobytes() for g in grams], pa.binary())})
+        grams = every["key"][first][hot]
+        listed = pa.table({"kind": pa.array([1] * len(grams), pa.int32()), "bucket": pa.array(total[hot], pa.int64()), "blob": pa.array([g.tobytes() for g in grams], pa.binary())})
         return pa.concat_tables([_dealt(np.concatenate((places, _read(group, 1, PLACE))), buckets), listed])
 
     return docs.mapInArrow(run, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA)
@@ -192,14 +193,12 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
     def settle_batch(around: list[np.ndarray], windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, single = np.concatenate(around), np.concatenate(windows)
         rows = rows[np.lexsort((rows["at"], rows["doc"]))]
-        known = _first_copies(rows)
-        other = np.ones(len(rows), bool)
-        other[known] = False
+        known, other = _first_copies(rows)
         yield from _deal(0, rows[known], rows["key"][known], buckets)
         single = single[np.lexsort((single["at"], single["doc"], single["more"], single["key"]))]
-        first = _first_of(single["key"], single["more"]) if len(single) else np.zeros(0, bool)
+        first, later = _first_windows(single)
         yield from _deal(2, single[first], single["key"][first], buckets)
-        spans = np.concatenate((_spans(rows["doc"][other], _low(rows[other]), _low(rows[other]) + rows["run"][other] + LENGTH), _spans(single["doc"][~first], single["at"][~first], single["at"][~first].astype(np.int64) + LENGTH)))
+        spans = np.concatenate((_whole_spans(rows[other]), _spans(single["doc"][later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH)))
         yield from _deal(1, spans, spans["doc"].astype(np.uint64), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +249,24 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
     return held.mapInArrow(run, SCHEMA)
 
 
-def _first_copies(rows: np.ndarray) -> np.ndarray:
-    """Indices of the first of each group of rows with equal surroundings, by 128 bits of hash, ascending."""
+def _later_places(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which of values, in runs of equals that start where `new`, stand at another place than the first of their run."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+    return (values["doc"] != values["doc"][first]) | (values["at"] != values["at"][first])
+
+
+def _first_windows(single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal windows, and those at a later place."""
+    if not len(single):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    first = _first_of(single["key"], single["more"])
+    return first, _later_places(single, first)
+
+
+def _first_copies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first of each group of rows with equal surroundings, by 128 bits of hash, ascending; and of those at a later place."""
     if not len(rows):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = np.ascontiguousarray(rows["bytes"]).view(np.uint64)
     shape = rows["back"].astype(np.uint64) << np.uint64(8) | rows["run"].astype(np.uint64)
     sums = []
@@ -264,7 +277,8 @@ def _first_copies(rows: np.ndarray) -> np.ndarray:
                 total += mix(words[:, k] + WEIGHTS[seed + k + 1]) * WEIGHTS[seed + k + 2]
             sums.append(total)
     by = np.lexsort((sums[1], sums[0]))
-    return np.sort(by[_first_of(sums[0][by], sums[1][by])])
+    new = _first_of(sums[0][by], sums[1][by])
+    return np.sort(by[new]), by[_later_places(rows[["doc", "at"]][by], new)]
 
 
 def _low(rows: np.ndarray) -> np.ndarray:
@@ -277,6 +291,10 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole_spans(rows: np.ndarray) -> np.ndarray:
+    return _spans(rows["doc"], _low(rows), _low(rows) + rows["run"] + LENGTH)
+
+
 def _ranked(rows: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of equal-length byte rows by their suffix array, and the common prefix of each with the one before."""
     n, width = rows.shape
@@ -309,7 +327,7 @@ def repeats(rows: np.ndarray) -> np.ndarray:
         left_class[left] = np.cumsum(left_common < before)
         both = right_class[mine] * (n + 1) + left_class[mine]
         by = np.argsort(both, kind="stable")
-        later = mine[by[1:][both[by][1:] == both[by][:-1]]]
+        later = mine[by[_later_places(rows[["doc", "at"]][mine[by]], _first_of(both[by]))]]
         lowest[later] = np.minimum(lowest[later], before)
         highest[later] = np.maximum(highest[later], before)
     gone = np.flatnonzero(highest >= 0)
@@ -322,10 +340,8 @@ def _meet_surroundings(group: pa.Table, buckets: int) -> pa.Table:
     rows = rows[np.lexsort((rows["at"], rows["doc"]))]
     out = [_read(group, 1, SPAN)]
     if len(rows):
-        known = _first_copies(rows)
-        other = np.ones(len(rows), bool)
-        other[known] = False
-        out.append(_spans(rows["doc"][other], _low(rows[other]), _low(rows[other]) + rows["run"][other] + LENGTH))
+        known, other = _first_copies(rows)
+        out.append(_whole_spans(rows[other]))
         rows = rows[known]
         keys, count = np.unique(rows["key"], return_counts=True)
         rows = rows[count[np.searchsorted(keys, rows["key"])] > 1]
@@ -334,7 +350,7 @@ def _meet_surroundings(group: pa.Table, buckets: int) -> pa.Table:
     single = _read(group, 2, WINDOW)
     single = single[np.lexsort((single["at"], single["doc"], single["more"], single["key"]))]
     if len(single):
-        later = ~_first_of(single["key"], single["more"])
+        _, later = _first_windows(single)
         out.append(_spans(single["doc"][later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH))
     release()
     return _dealt(np.concatenate(out), buckets)
@@ -346,11 +362,9 @@ def removed_spans(docs: DataFrame, key: str) -> DataFrame:
     total = keyed.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parallelism(docs), total // 30 // BUCKET)
     found = settle(repeated_anchors(keyed, buckets))
-    limit = max(HOT, total // 30 // HOT_SHARE)
-    entries = np.dtype([("key", "<u8"), ("n", "<i8")])
-    grams = [np.frombuffer(r.blob, entries)[0] for r in found.where("kind = 1").select("blob").toLocalIterator()]
+    listed = found.where("kind = 1").orderBy(F.desc("bucket"), "blob").limit(LISTED).select("blob")
+    hot = np.sort(np.frombuffer(b"".join(r.blob for r in listed.toLocalIterator()), np.uint64))
     drop_shuffles(found)  # of the anchors, which are checkpointed
-    hot = np.sort(np.array([g["key"] for g in grams if g["n"] > limit], np.uint64))
     places = by_document(found.where("kind = 0"), PLACE).select(F.col("bucket").alias(key), F.array("blob").alias("__places"))
     # The join takes all columns of docs, so that the one which applies the spans reuses its exchange of the texts.
     around = surroundings(docs.join(places, key).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets)

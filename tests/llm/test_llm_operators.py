@@ -117,6 +117,18 @@ def test_suffix_dedup_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.n_removed == r.n_bytes) for r in substrings.dedupe(rows).collect()) == [(-1, False), (4, True), (4, True), (5, True)]
 
 
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_suffix_dedup_keeps_repeated_rows(spark, monkeypatch, hot):
+    """Rows of one document remove nothing from each other at one place, in one batch or in several; what repeats within it goes from both."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    text, other = prose(80), prose(60)
+    inside = other + " " + other
+    rows = [(4, text)] * 3 + [(6, inside), (6, inside)]
+    for parts in (1, 5):
+        found = substrings.dedupe(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert {(r.doc_id, r.n_removed) for r in found} == {(4, 0), (6, len(other.encode()))}, parts
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(symbols):
