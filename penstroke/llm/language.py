@@ -1,7 +1,7 @@
 """Operator 3, language identification: a document as a mixture of languages.
 
 For each language Spark counts character trigrams over 64 character classes, so a model has at most
-64**3 entries a language and at most MAX_LANGUAGES languages. A word's likelihood under a language is
+64**3 entries (1 MB) a language; it is fitted in one task and takes that much in the driver and in the broadcast. A word's likelihood under a language is
 the product of its trigrams' probabilities. Expectation-maximisation estimates the proportions of
 the languages over the words of a document; languages are then dropped, least proportion first, while
 the likelihood lost is below the penalty of one parameter (half the logarithm of the number of words,
@@ -25,7 +25,6 @@ from penstroke.llm.common import chunks, code_points, per_row, row_numbers, tabl
 
 BITS = 6
 CLASSES = 1 << BITS
-MAX_LANGUAGES = 32
 STEPS, STEPS_AFTER = 10, 5
 #: Weight of the shorter n-gram's probability in a smoothed probability.
 PRIOR = 8.0
@@ -64,8 +63,13 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return code[use], of[use + 1], word[use], per_row(kind > 0, offsets) > 0
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all rows with text and lang, added up within each task."""
+def count_trigrams(docs: DataFrame, held: int = 16) -> DataFrame:
+    """(lang, code, n) over all rows with text and lang, added up within each task for up to `held` languages at once."""
+
+    def rows_of(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, counts in total.items():
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(seen), pa.string()), "code": seen, "n": counts[seen]})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -74,10 +78,11 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
             names = batch.column(1).dictionary_encode()
             of = names.indices.to_numpy()[row]
             for k, name in enumerate(names.dictionary.to_pylist()):
+                if name not in total and len(total) >= held:
+                    yield from rows_of(total)
+                    total = {}
                 total[name] = total.get(name, 0) + np.bincount(code[of == k], minlength=CLASSES**3)
-        for name, counts in total.items():
-            seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(seen), pa.string()), "code": seen, "n": counts[seen]})
+        yield from rows_of(total)
 
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -85,20 +90,19 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Names, and log probabilities of the third character given two before it (trigram by language)."""
-    counts = count_trigrams(docs).toPandas()
-    names = sorted(counts["lang"].unique())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is bounded to {MAX_LANGUAGES}")
-    out = np.zeros((CLASSES**3, len(names)), np.float32)
-    for k, name in enumerate(names):
+
+    def smooth(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         c3 = np.zeros((CLASSES,) * 3)
-        part = counts[counts["lang"] == name]
-        c3.reshape(-1)[part["code"]] = part["n"]
+        c3.reshape(-1)[group.column("code").to_numpy()] = group.column("n").to_numpy()
         p = np.full(CLASSES, 1 / CLASSES)
         for c in (c3.sum(axis=(0, 1)), c3.sum(axis=0), c3):
             p = (c + PRIOR * p) / (c.sum(axis=-1, keepdims=True) + PRIOR)
-        out[:, k] = np.log(p).reshape(-1)
-    return names, out
+        return pa.table({"lang": [key[0].as_py()], "model": pa.array([np.log(p).astype(np.float32).tobytes()], pa.binary())})
+
+    fitted = count_trigrams(docs).groupBy("lang").applyInArrow(smooth, "lang string, model binary")
+    models = {r.lang: np.frombuffer(r.model, np.float32) for r in fitted.toLocalIterator()}
+    names = sorted(models)
+    return names, np.stack([models[n] for n in names], axis=1) if names else np.zeros((CLASSES**3, 0), np.float32)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -156,14 +160,15 @@ def mixtures(logp: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
     """All columns of docs, then lang_pred, score and n_languages (which replace columns of the same name)."""
     docs = docs.drop("lang_pred", "score", "n_languages")
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([*names, "und"], dtype=object), model))
+    shared, at_ = docs.sparkSession.sparkContext.broadcast((np.array([*names, "und"], dtype=object), model)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, table_ = shared.value
-        for batch in chunks(batches, "text"):
+        # A chunk's table of likelihoods has a column for each language.
+        for batch in chunks(batches, at_, (1 << 23) // max(8, len(labels))):
             n = batch.num_rows
             pred, score, sets = np.full(n, len(labels) - 1), np.zeros(n), np.zeros(n, np.int64)
-            code, row, word, lettered = trigrams(texts_of(batch.column("text")))
+            code, row, word, lettered = trigrams(texts_of(batch.column(at_)))
             if len(code) and len(labels) > 1:
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 by_word = _sums(table_[code], first)

@@ -223,6 +223,20 @@ def test_language_mixture(spark):
     assert {r.lang_pred for r in language.predict(spark.createDataFrame(tests, "doc_id long, text string"), none, empty).collect()} == {"und"}
 
 
+def test_more_languages_than_a_task_holds_at_once(spark):
+    """Forty invented languages, learned and told apart."""
+    rng, rows = random.Random(12), []
+    for lang in range(40):
+        letters = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 8))
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(60)]
+        rows += [(len(rows) + k, " ".join(rng.choice(words) for _ in range(40)), f"l{lang:02d}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    names, model = language.fit(docs.where("doc_id % 6 < 4"))
+    assert names == [f"l{k:02d}" for k in range(40)]
+    held = language.predict(docs.where("doc_id % 6 >= 4"), names, model).collect()
+    assert sum(r.lang_pred == r.lang for r in held) >= 76
+
+
 def test_language_held_out_accuracy(spark):
     found = language.op3_language_mixture(spark, "/root/testdata/sf0.001").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
