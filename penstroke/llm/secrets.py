@@ -3,11 +3,13 @@
 Base patterns find assigned values, access keys and long hexadecimal runs. Every other run of key
 characters is scored by the log-likelihood ratio of two order-2 character models, one trained on
 labelled random strings, the other on labelled ordinary words and identifiers; a run becomes a span of
-kind `random` when the ratio per character and in all are high. The labelled samples have fixed sizes:
+kind `random` when the ratio per character and in all are high. Runs of lower-case letters alone are not scored: such models can't
+tell them from words of a language they have not seen. The labelled samples have fixed sizes:
 SAMPLES generated strings of each alphabet, and SAMPLES words drawn by hash from the corpus.
 
-Degenerate rows: a null text is an empty one, without spans; repeated rows are each scanned; an empty
-table gives no rows; further columns are kept and columns of the result's names replaced.
+Degenerate rows: a null text is an empty one, without spans; repeated rows are each scanned; texts of any length are scanned
+whole, in time proportional to it; an empty table gives no rows; further columns are kept and columns of the result's names
+replaced.
 """
 
 from __future__ import annotations
@@ -94,10 +96,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def spans_of(text: str, ratio: np.ndarray, total: float = TOTAL, each: float = EACH) -> list[tuple[int, int, str]]:
     """All spans by start, then by kind as listed; a run that a base span touches is not judged again."""
     found = base_spans(text)
-    taken = list(found)
+    taken, k, reach = sorted((a, b) for a, b, _ in found), 0, 0
     for m in RUN.finditer(text):
         run = m[0]
-        if (run.islower() and run.isalpha()) or any(a < m.end() and m.start() < b for a, b, _ in taken):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach > m.start() or (run.islower() and run.isalpha()):
             continue
         c = _codes(run)
         score = ratio[c[:-2], c[1:-1], c[2:]].sum()
