@@ -1,18 +1,18 @@
 """Operator 1, benchmark decontamination: q-gram lemma filtering with banded verification.
 
 Benchmark items are cut to segments of SEGMENT characters, half overlapping (items below that length are
-one segment). A text that holds a segment of m characters with at most k = ERRORS * m edits shares at least
+one segment; those below WHOLE_WORDS characters must stand in the text without edits, and begin and end where a word does). A text that holds a segment of m characters with at most k = ERRORS * m edits shares at least
 m + 1 - q - k q of its character q-grams, on diagonals (text position less segment position) that spread
 over at most k. So q-grams of the text are looked up in the benchmark's; stretches with enough hits for the
 least threshold are expanded to hits of single segments; hits are counted in overlapping diagonal bands, and
 bands that reach the segment's threshold are verified by banded alignment. Characters are compared in lower
-case, white space as a space.
+case, white space as a space; q-grams by a byte of each character, alignments by the characters themselves.
 
 The benchmark is the query set: it is read in blocks of at most BLOCK characters, and each block's index
 is broadcast and run against all documents.
 
-Degenerate rows: null texts and those shorter than a segment match nothing; null items and items below SHORTEST
-characters are not searched; repeated rows are each reported, and items that share an id are reported as one; empty
+Degenerate rows: null texts and those shorter than a segment match nothing; null items and items of less than Q
+characters, which have no q-gram, are not searched; repeated rows are each reported, and items that share an id are reported as one; empty
 tables give no rows; further columns are ignored (or kept by `clean`).
 """
 
@@ -28,32 +28,41 @@ from pyspark.sql import functions as F
 
 from penstroke.llm.common import chunks, code_points, row_numbers, table, texts_of
 
-Q, SEGMENT, SHORTEST, ERRORS = 8, 128, 32, 0.08
+Q, SEGMENT, WHOLE_WORDS, ERRORS = 8, 128, 32, 0.08
 BLOCK = 2_000_000
 
 
-def _folds() -> np.ndarray:
-    """One byte for each code point: lower case, white space as a space, those beyond Latin-1 mixed into 128 to 255."""
-    out = (np.arange(0x10000) * 40503 >> 7 & 0x7F | 0x80).astype(np.uint8)
-    for point in range(0x250):
+def _lower() -> np.ndarray:
+    """Each code point below 0x10000 in lower case, white space as a space."""
+    out = np.arange(0x10000, dtype=np.uint32)
+    for point in range(0x10000):
         low = chr(point).lower()
-        if len(low) == 1 and ord(low) < 0x100:
-            out[point] = 32 if chr(point).isspace() or not point else ord(low)
+        out[point] = 32 if chr(point).isspace() or not point else ord(low) if len(low) == 1 else point
     return out
 
 
-FOLD = _folds()
+LOWER = _lower()
 
 
 def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Folded characters with a zero after each text, and the start of each text (n + 1)."""
     points, offsets = code_points(texts)
     n = len(offsets) - 1
-    out = np.zeros(len(points) + n, np.uint8)
-    out[np.arange(len(points)) + row_numbers(offsets)] = FOLD[points & 0xFFFF]
+    out = np.zeros(len(points) + n, np.uint32)
+    out[np.arange(len(points)) + row_numbers(offsets)] = np.where(points < 0x10000, LOWER[points & 0xFFFF], points)
     return out, offsets + np.arange(n + 1)
 
 
+def as_bytes(chars: np.ndarray) -> np.ndarray:
+    """One byte for each character: itself below 256, those beyond mixed into 128 to 255."""
+    return np.where(chars < 0x100, chars, chars * np.uint32(40503) >> 7 & 0x7F | 0x80).astype(np.uint8)
+
+
+def _word(chars: np.ndarray) -> np.ndarray:
+    """Whether each character belongs to a word: no ASCII sign, space or gap."""
+    return (chars >= 128) | ((chars >= 48) & (chars <= 57)) | ((chars >= 97) & (chars <= 122))
+
+
 def grams(chars: np.ndarray) -> np.ndarray:
     """The Q characters from each position on, packed."""
     out = chars.astype(np.uint64)
@@ -63,12 +72,12 @@ def grams(chars: np.ndarray) -> np.ndarray:
 
 
 def segment_index(items: list[tuple[int, str]]) -> list[dict]:
-    """One index for each class of segment lengths (32 to 63, 64 to 127, 128), with thresholds of its own."""
+    """One index for each class of segment lengths (8 to 15, 16 to 31, 32 to 63, 64 to 127, 128), with thresholds of its own."""
     classes: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for item, text in items:
         chars, _ = folded(pa.array([text], pa.large_string()))
         m = len(chars) - 1
-        if m < SHORTEST:
+        if m < Q:
             continue
         size = min(m, SEGMENT)
         for start in sorted({*range(0, m - size + 1, SEGMENT // 2), m - size}):
@@ -76,9 +85,9 @@ def segment_index(items: list[tuple[int, str]]) -> list[dict]:
     out = []
     for segments in classes.values():
         sizes = np.array([len(s) for _, _, s in segments])
-        edits = np.minimum((sizes * ERRORS).astype(np.int64), (sizes - Q) // Q)
+        edits = np.where(sizes < WHOLE_WORDS, 0, np.minimum((sizes * ERRORS).astype(np.int64), (sizes - Q) // Q))
         needed = sizes + 1 - Q - edits * Q
-        every = np.concatenate([grams(s) for _, _, s in segments])
+        every = np.concatenate([grams(as_bytes(s)) for _, _, s in segments])
         n_grams = sizes - Q + 1
         segment = np.repeat(np.arange(len(segments)), n_grams)
         place = np.arange(len(every)) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
@@ -87,7 +96,7 @@ def segment_index(items: list[tuple[int, str]]) -> list[dict]:
         bits = max(16, int(len(keys) * 32).bit_length())
         sieve = np.zeros(1 << bits, bool)
         sieve[_slot(keys, bits)] = True
-        chars = np.zeros((len(segments), int(sizes.max())), np.uint8)
+        chars = np.zeros((len(segments), int(sizes.max())), np.uint32)
         for row, (_, _, s) in enumerate(segments):
             chars[row, : len(s)] = s
         out.append({
@@ -104,7 +113,7 @@ def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _aligned(chars: np.ndarray, begin: np.ndarray, width: int, patterns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Least edits of each pattern in the text from begin on, within `width` diagonals; text ends are free."""
-    chars = np.concatenate((np.zeros(width, np.uint8), chars, np.zeros(patterns.shape[1] + 2 * width, np.uint8)))
+    chars = np.concatenate((np.zeros(width, chars.dtype), chars, np.zeros(patterns.shape[1] + 2 * width, chars.dtype)))
     begin = begin + width
     lane = np.arange(width)
     cost = np.zeros((len(begin), width), np.int32)
@@ -119,11 +128,19 @@ def _aligned(chars: np.ndarray, begin: np.ndarray, width: int, patterns: np.ndar
     return best
 
 
+def _stands_alone(chars: np.ndarray, pattern: np.ndarray, starts: range) -> bool:
+    """Whether the pattern stands at one of the starts, and no word goes on at its ends."""
+    word = lambda at: 0 <= at < len(chars) and bool(_word(chars[at : at + 1])[0])
+    return any(
+        np.array_equal(chars[p : p + len(pattern)], pattern) and not (word(p - 1) and word(p)) and not (word(p + len(pattern) - 1) and word(p + len(pattern))) for p in starts
+    )
+
+
 def find(texts: pa.Array, index: list[dict]) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end) of each verified segment's best band, positions in characters of the row
     (within the band's width)."""
     chars, starts = folded(texts)
-    gram = grams(chars)
+    gram = grams(as_bytes(chars))
     out = []
     for part in index:
         hit = np.flatnonzero(part["sieve"][_slot(gram, part["bits"])])
@@ -160,6 +177,8 @@ def find(texts: pa.Array, index: list[dict]) -> list[tuple[int, int, int, int, i
             s, b = segment[a : a + 4096], begin[a : a + 4096]
             edits = _aligned(chars, b, 4 * step, part["chars"][s], part["size"][s])
             ok = edits <= part["edits"][s]
+            for k in np.flatnonzero(ok & (part["size"][s] < WHOLE_WORDS)).tolist():
+                ok[k] = _stands_alone(chars, part["chars"][s[k], : part["size"][s[k]]], range(max(0, int(b[k])), int(b[k]) + 4 * step))
             middle = np.maximum(b[ok] + 2 * step, 0) + part["size"][s[ok]] // 2
             row = np.searchsorted(starts, middle, "right") - 1
             for r, g, e, p in zip(row.tolist(), s[ok].tolist(), edits[ok].tolist(), b[ok].tolist(), strict=True):
