@@ -21,14 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where all runs on one machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="penstroke-")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; a local folder only where none is set.
+    """Cut lineage with a checkpoint in the shared folder.
 
     Shuffle files of what was cut are deleted once the driver has collected its garbage, so that is asked for."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="penstroke-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint()
     del df
     drop_shuffles(out)

@@ -7,7 +7,7 @@ a bucket is dealt by hash over groups of about GROUP pieces, each packed by itse
 may be short of pieces.
 
 Degenerate rows: null and empty texts, and those without a word, have no piece; repeated rows are packed
-each; ties in a group are dealt in the order of doc_id, piece and then the row's hash; an empty table
+each; a group is dealt in the order of doc_id, piece and length, and rows equal in all three in any; an empty table
 gives no rows; further columns are ignored.
 """
 

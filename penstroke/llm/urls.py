@@ -3,7 +3,7 @@
 A rule is a host with a path prefix (`example.com/en/`, which fits the host and its subdomains) or a
 pattern in slashes (`/\\bcasino\\b/`, a regular expression on the lower-cased host and path); either way it
 has literal tokens, runs of a-z and 0-9 that every url it fits must contain whole. The index holds a rule
-under the token that the fewest pages have, counted over all pages. The tokens of each distinct url fetch
+under the token that the fewest urls have, counted over the distinct urls of all pages. The tokens of each distinct url fetch
 candidate rules by an equi-join, and only those run their regular expressions. Among rules that fit, host
 rules win over patterns, then the longest, then the first by text.
 
@@ -85,7 +85,7 @@ def index_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """All columns of pages, then host, path, rule and verdict."""
     host, path = host_and_path(F.col("url"))
-    pages = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    pages = pages.drop("host", "path", "rule", "verdict", "__spread").withColumn("host", host).withColumn("path", path)
     urls = pages.where("host != '' OR path != ''").select("host", "path").distinct()
     index = index_rules(urls, rules)
     candidates = urls.withColumn("token", F.explode(_url_tokens(F.col("host"), F.col("path")))).join(index, "token")
@@ -93,7 +93,9 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     hits = candidates.where(F.regexp(subject, F.col("regex"))).groupBy("host", "path").agg(
         F.max(F.struct("is_host", F.length("rule").alias("size"), F.col("rule"), F.col("action"))).alias("best")
     )
-    matched = pages.join(hits, ["host", "path"], "left")
+    # Pages without host and path, which may be many and have no hit, are dealt by their hash.
+    spread = F.when((F.col("host") == "") & (F.col("path") == ""), F.pmod(F.xxhash64(*pages.columns), F.lit(1 << 20)) + 1).otherwise(0).cast("long")
+    matched = pages.withColumn("__spread", spread).join(hits.withColumn("__spread", F.lit(0).cast("long")), ["host", "path", "__spread"], "left")
     parsed = F.locate("://", F.coalesce("url", F.lit(""))) > 0
     return matched.select(*pages.columns, F.when(F.col("best.is_host"), F.col("best.rule")).alias("rule"), F.coalesce("best.action", F.when(parsed, UNMATCHED).otherwise(MALFORMED)).alias("verdict"))
 
