@@ -4,7 +4,7 @@ A text is cut without loss into sentences (a sentence ends after its full stops,
 breaks, and the white space behind them), and those further into pieces after each word that ends with one of CUT: a passage that
 begins or ends within a sentence is then seen but for a few words. From each piece on, RUN consecutive pieces, and as
 many more as it takes to reach SHORTEST characters, are a run; a text too short for one is a run as a whole. Runs, trimmed piece by
-piece, are hashed to 128 bits. The hashes are joined globally, and a piece goes if a run that covers it also starts
+piece, are hashed to 96 bits. The hashes are joined globally, and a piece goes if a run that covers it also starts
 earlier: in a smaller doc_id, or earlier in the same document.
 
 Degenerate rows: null and empty texts have no sentence and stay as they are; rows that share a doc_id are one place,
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstroke.llm.common import chunks, mix, table, texts_of
@@ -71,18 +71,22 @@ def runs_of(texts: pa.Array, run: int = RUN, shortest: int = SHORTEST) -> tuple[
 
 
 def runs(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, at, h1, h2) of each run of pieces."""
+    """(doc_id, at, h1, h2) of each run of pieces; `at` is -1 - at where the same row has the run earlier too."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             row, at, _, (h1, h2) = runs_of(texts_of(batch.column(1)), run, shortest)
             ids = batch.column(0).to_numpy()[row]
+            by = np.lexsort((at, h2, h1, row))
+            same = (row[by][1:] == row[by][:-1]) & (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
+            again = by[1:][same]
+            at[again] = -1 - at[again]
             for a in range(0, len(row), 1 << 16):
                 b = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[b], "at": at[b].astype(np.int32), "h1": h1[b], "h2": h2[b]})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[b], "at": at[b].astype(np.int32), "h1": h1[b], "h2": h2[b].astype(np.int32)})
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(cut, "doc_id long, at int, h1 long, h2 long")
+    return keyed.mapInArrow(cut, "doc_id long, at int, h1 long, h2 int")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:
@@ -90,9 +94,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST) ->
     every = runs(docs, run, shortest)
     twice = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = every.join(twice, ["h1", "h2"])
-    within = Window.partitionBy("doc_id", "h1", "h2").orderBy("at")
-    later = held.repartition("doc_id").withColumn("rank", F.rank().over(within))
-    return later.where("doc_id > first OR rank > 1").select("doc_id", "at", "h1")
+    at = F.col("at")
+    return held.where("doc_id > first OR at < 0").select("doc_id", F.when(at < 0, -1 - at).otherwise(at).alias("at"), "h1")
 
 
 def dedupe(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST) -> DataFrame:

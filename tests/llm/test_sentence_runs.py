@@ -28,10 +28,14 @@ def by_hand(rows, run=sentence_spans.RUN, shortest=sentence_spans.SHORTEST):
         doc = -(2**63) if doc is None else doc
         found.append((parts, here, doc))
         for i, _, r in here:
-            place[r] = min(place.get(r, (2**63, 0)), (doc, i))
+            place[r] = min(place.get(r, 2**63), doc)
     out = []
     for parts, here, doc in found:
-        gone = {x for i, j, r in here if place[r] < (doc, i) for x in range(i, j)}
+        seen, gone = set(), set()
+        for i, j, r in here:
+            if place[r] < doc or r in seen:
+                gone |= set(range(i, j))
+            seen.add(r)
         out.append(("".join(p for x, p in enumerate(parts) if x not in gone), len(parts), len(gone)))
     return out
 
