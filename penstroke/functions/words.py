@@ -19,7 +19,9 @@ MISSING_APOSTROPHE = (
 ).split()
 MISSPELLINGS = (
     "teh recieve recieved seperate seperated definately occured occurence alot wich adn thier becuase untill wierd arguement accomodate embarass existance "
-    "goverment independant neccessary publically recomend refered tommorow truely writting acheive beleive calender"
+    "goverment independant neccessary publically recomend refered tommorow truely writting acheive beleive calender "
+    "cemetary changable collegue concious enviroment foriegn gaurd harrass immediatly knowlege liason maintainance occassion perseverence priviledge "
+    "questionaire rythm succesful supercede threshhold vaccuum visable"
 ).split()
 
 #: Sentence openers: formulaic ones, then ordinary ones for comparison.

@@ -46,3 +46,9 @@ def ranked(models: dict[str, DataFrame], k: int) -> DataFrame:
 def to_vocabulary(model: DataFrame, least: float) -> DataFrame:
     """Terms whose |z| reaches `least`, as a vocabulary for rates."""
     return model.where(F.abs("z") >= least).select("term", "z")
+
+
+def terms_of_side(odds: DataFrame, n: int, a: bool = True) -> DataFrame:
+    """The n terms most typical of side A (or B), with their rank; ties by term."""
+    order = [F.desc("z") if a else F.asc("z"), F.asc("term")]
+    return odds.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows

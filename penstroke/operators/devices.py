@@ -116,7 +116,7 @@ def paired_words(docs: DataFrame, pairs: DataFrame, dim: str = "dev:antonym_pair
     """Sentences that hold both words of a pair of a table (a, b), per 1,000 tokens: an equi-join on the words of each sentence."""
     each = sentences(docs).select("doc_id", "s", F.explode(F.array_distinct(token_array(F.col("sentence")))).alias("w"))
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    found = each.join(F.broadcast(both.withColumnRenamed("a", "w")), "w").select("doc_id", "s", F.col("b").alias("w")).join(each, ["doc_id", "s", "w"], "left_semi").select("doc_id", "s").distinct().groupBy("doc_id").agg(F.count("*").alias("c"))
+    found = each.join(both.withColumnRenamed("a", "w"), "w").select("doc_id", "s", F.col("b").alias("w")).join(each, ["doc_id", "s", "w"], "left_semi").select("doc_id", "s").distinct().groupBy("doc_id").agg(F.count("*").alias("c"))
     size = docs.select("doc_id", F.size(token_array(F.col("text"))).alias("n")).where("n > 0")
     return size.join(found, "doc_id", "left").select("doc_id", F.lit(dim).alias("dim"), per_1k(F.coalesce("c", F.lit(0)), F.col("n")).alias("value"))
 
@@ -125,7 +125,7 @@ def near_keys(docs: DataFrame, keys: DataFrame, within: int = 12, dim: str = "de
     """Tokens with the key of another token at most `within` before them, per 1,000; keys is a table (w, key), such as rhymes. The
     nearest earlier token of a key is all that matters, so a window finds it and no pairs are made."""
     order = Window.partitionBy("doc_id", "key").orderBy("i")
-    each = tokens(docs).join(F.broadcast(keys), "w", "left")
+    each = tokens(docs).join(keys, "w", "left")
     keyed = each.where("key IS NOT NULL").withColumn("gap", F.col("i") - F.lag("i").over(order)).groupBy("doc_id").agg(F.count_if(F.col("gap") <= within).alias("c"))
     size = docs.select("doc_id", F.size(token_array(F.col("text"))).alias("n")).where("n > 0")
     return size.join(keyed, "doc_id", "left").select("doc_id", F.lit(dim).alias("dim"), per_1k(F.coalesce("c", F.lit(0)), F.col("n")).alias("value"))
@@ -135,7 +135,7 @@ def clashes(docs: DataFrame, norms: DataFrame, within: int = 12) -> DataFrame:
     """Sentences in which a word of the upper quarter of norms (term, score) stands within `within` tokens of one of the lower, per 100."""
     low, high = norms.agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
     each = sentences(docs).select("doc_id", "s", F.posexplode(token_array(F.col("sentence"))).alias("i", "w"))
-    scored = each.join(F.broadcast(norms.withColumnRenamed("term", "w")), "w", "left").withColumn("side", F.when(F.col("score") >= high, 1).when(F.col("score") <= low, 0))
+    scored = each.join(norms.withColumnRenamed("term", "w"), "w", "left").withColumn("side", F.when(F.col("score") >= high, 1).when(F.col("score") <= low, 0))
     order = Window.partitionBy("doc_id", "s").orderBy("i").rowsBetween(-within, -1)
     met = scored.withColumn("other", F.max(F.when(F.col("side") == 0, 1)).over(order)).withColumn("same", F.max(F.when(F.col("side") == 1, 1)).over(order))
     hit = ((F.col("side") == 1) & (F.col("other") == 1)) | ((F.col("side") == 0) & (F.col("same") == 1))

@@ -17,8 +17,11 @@ def _sized(docs: DataFrame, lexical: bool = False) -> DataFrame:
 
 
 def mark_rates(docs: DataFrame) -> DataFrame:
-    """Each punctuation mark per 1,000 tokens."""
-    return unpivot(_sized(docs, True), "doc_id", {f"punct:{name}_rate": per_1k(count_of(F.col("text"), chars), F.col("n")) for name, chars in W.MARKS.items()})
+    """Each punctuation mark per 1,000 tokens. One pass over the text leaves its marks, and those are counted."""
+    others = "[^" + "".join(f"\\{c}" if c.isascii() else c for chars in W.MARKS.values() for c in chars) + "]"
+    worded = docs.where(F.regexp("text", F.lit(r"[\p{L}\p{Nd}_]")))
+    sized = worded.select("doc_id", F.regexp_replace("text", F.lit(others), F.lit("")).alias("marks"), F.regexp_count(F.lower("text"), F.lit(W.TOKEN)).alias("n"))
+    return unpivot(sized, "doc_id", {f"punct:{name}_rate": per_1k(count_of(F.col("marks"), chars), F.col("n")) for name, chars in W.MARKS.items()})
 
 
 def style_ratios(docs: DataFrame) -> DataFrame:

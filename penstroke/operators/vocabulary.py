@@ -54,6 +54,28 @@ def frequent_grams(docs: DataFrame, n: int, k: int = 1000) -> DataFrame:
     return char_grams(docs, n).groupBy("gram", "type").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "type", "gram").limit(k)
 
 
+def ranked_grams(docs: DataFrame, n: int, k: int = 1000) -> DataFrame:
+    """frequent_grams with their rank from 1."""
+    return frequent_grams(docs, n, k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("c"), "type", "gram")))  # k rows
+
+
+def rates(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, term, value): share of each vocabulary term among all terms (doc_id, term) of a document, 0 included; documents without a
+    term are left out. One shuffle: terms outside the vocabulary, which is small, only count."""
+    held = terms.join(F.broadcast(vocabulary.select("term", F.lit(True).alias("listed"))), "term", "left")
+    by_term = held.groupBy("doc_id", F.when(F.col("listed"), F.col("term")).alias("term")).agg(F.count("*").alias("c"))
+    entries = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "c")))
+    packed = by_term.groupBy("doc_id").agg(F.sum("c").alias("size"), F.map_from_entries(entries).alias("held"))
+    dense = packed.crossJoin(F.broadcast(vocabulary.select("term")))
+    return dense.select("doc_id", "term", (F.coalesce(F.try_element_at("held", F.col("term")), F.lit(0)) / F.col("size")).alias("value"))
+
+
+def gram_rates(docs: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
+    """(doc_id, term, value): share of typed n-grams (gram, type) among all n-grams of a document; shorter documents are left out."""
+    named = lambda d: d.withColumn("term", F.concat_ws(":", "type", "gram"))
+    return rates(named(char_grams(docs, n)).select("doc_id", "term"), named(vocabulary))
+
+
 def universe(docs: DataFrame, kind: str, n: int = 1) -> DataFrame:
     """(doc_id, term): words, runs of n words, or runs of n characters."""
     if kind == "char":

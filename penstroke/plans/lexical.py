@@ -234,8 +234,8 @@ def richness(spark, sf):
     return rounded(features.richness(documents(spark, sf)))
 
 
-@query(f"""WITH {TOK}, w AS (SELECT doc_id, len(list_distinct(ws[i : i + 99])) / 100.0 AS r FROM (SELECT doc_id, ws, unnest(range(1, n - 98)) AS i FROM sized WHERE n >= 100))
-SELECT z.doc_id, 'rich:mattr100' AS dim, round(avg(r), 6) AS value FROM sized z LEFT JOIN w USING (doc_id) GROUP BY z.doc_id""")
+@query(f"""WITH {TOK}, w AS (SELECT doc_id, len(list_distinct(ws[i : i + 99])) AS r FROM (SELECT doc_id, ws, unnest(range(1, n - 98)) AS i FROM sized WHERE n >= 100))
+SELECT z.doc_id, 'rich:mattr100' AS dim, round(sum(r)::DOUBLE / (count(r) * 100), 6) AS value FROM sized z LEFT JOIN w USING (doc_id) GROUP BY z.doc_id""")
 def moving_type_ratio(spark, sf):
     return rounded(features.mattr(documents(spark, sf)))
 
