@@ -97,3 +97,9 @@ FLOORS = {
 }
 #: Least denominator of a z-score by unit.
 NOISE_FLOORS = {"per_1k": 0.5, "per_100_sentences": 1.0, "per_100_lines": 1.0, "fraction": 0.02, "frequency": 0.002, "tokens": 1.0, "bits": 0.1, "index": 1.0}
+
+#: Forms in -ing that are no verbs.
+ING_NOUNS = (
+    "thing things king kings ring rings string strings wing wings spring springs ceiling morning evening everything something anything nothing during sibling siblings "
+    "shilling willing darling"
+).split()

@@ -263,3 +263,14 @@ def confidence(docs: DataFrame) -> DataFrame:
     level = lambda low, ok: F.when(F.col("n") < low, "none").when(F.col("n") < ok, "low").otherwise("ok")
     rows = F.array(*(F.struct(F.lit(f).alias("family"), level(*x).alias("confidence")) for f, x in W.FLOORS.items()))
     return sized.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.family", "r.confidence")
+
+
+def participial(docs: DataFrame) -> DataFrame:
+    """Sentences whose second half has a comma before a form in -ing that may be a verb, per 1,000 tokens."""
+    part = F.regexp_extract_all(F.lower("sentence"), F.lit(rf"({W.TOKEN}|[^\x20\x09-\x0D])"), 1)
+    verb = lambda w: (F.length(w) > 4) & F.endswith(w, F.lit("ing")) & ~w.isin(W.ING_NOUNS)
+    each = sentences(docs).select("doc_id", F.size(token_array(F.col("sentence"))).alias("n"), part.alias("p"))
+    middle = F.floor(F.size("p") / 2).cast("int")
+    hit = (F.size("p") >= 4) & F.exists(F.sequence(middle, F.greatest(middle, F.size("p") - 2)), lambda i: (F.get("p", i) == ",") & F.coalesce(verb(F.get("p", i + 1)), F.lit(False)))
+    grouped = each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count_if(hit).alias("hits"))
+    return grouped.select("doc_id", F.lit("biber:participial_clause_rate").alias("dim"), per_1k(F.col("hits"), F.col("n")).alias("value"))

@@ -97,3 +97,16 @@ def chapters(books: DataFrame, min_words: int = 0) -> DataFrame:
     grouped = sized.withColumn("chapter", F.greatest(F.lit(1), F.sum((F.col("n") >= min_words).cast("int")).over(by)))
     merged = grouped.groupBy("book", "chapter").agg(F.min_by("heading", "k").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     return merged
+
+
+def comments_url(base: F.Column, user: F.Column, page: F.Column, per_page: int = 1000) -> F.Column:
+    """Address of a page of a user's comments, newest first."""
+    return F.concat(base, F.lit("/search_by_date?tags=comment,author_"), user, F.lit("&page="), page.cast("string"), F.lit(f"&hitsPerPage={per_page}"))
+
+
+def merge_extractions(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Extractions of (records, counters with one row of files, bad and dropped) as one: all records, and the sums."""
+    records, counters = parts[0]
+    for more, counted in parts[1:]:
+        records, counters = records.unionByName(more, allowMissingColumns=True), counters.unionByName(counted)
+    return records, counters.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "bad", "dropped")))
