@@ -22,7 +22,21 @@ def findings(values: DataFrame, stats: DataFrame, floor: float = W.NOISE_FLOORS[
     from the 5th to the 95th percentile (of a constant dimension, outside the constant), the gravest first, at most `most` a document."""
     joined = values.where("value IS NOT NULL").join(F.broadcast(stats), "dim")
     low, high = F.when(F.col("degenerate"), F.col("min")).otherwise(F.col("p05")), F.when(F.col("degenerate"), F.col("max")).otherwise(F.col("p95"))
-    placed = joined.withColumn("low", low).withColumn("high", high).withColumn("direction", F.when(F.col("value") > F.col("high"), "reduce").when(F.col("value") < F.col("low"), "increase")).where("direction IS NOT NULL")
+    return _outside(joined.withColumn("low", low).withColumn("high", high), floor, most, least)
+
+
+def contrast_findings(values: DataFrame, toward: DataFrame, pulls: DataFrame, stats: DataFrame, floor: float = W.NOISE_FLOORS["per_1k"], most: int = 10, least: str = "low") -> DataFrame:
+    """As `findings`, for a move from one corpus toward another: of the dimensions that pull a document (pulls: doc_id, dim, pull over 0) to the
+    side it is to leave, those outside half a deviation (a quarter of the floor at least) around the other side's value (toward: dim, value)."""
+    half = F.greatest(F.col("sd") * 0.5, F.lit(floor * 0.25))
+    aims = stats.join(toward.select("dim", F.col("value").alias("aim")), "dim").withColumn("low", F.col("aim") - half).withColumn("high", F.col("aim") + half)
+    pulled = values.where("value IS NOT NULL").join(pulls.where("pull > 0").select("doc_id", "dim"), ["doc_id", "dim"], "left_semi")
+    return _outside(pulled.join(F.broadcast(aims), "dim"), floor, most, least)
+
+
+def _outside(banded: DataFrame, floor: float, most: int, least: str) -> DataFrame:
+    """Findings of values outside their band (low, high)."""
+    placed = banded.withColumn("direction", F.when(F.col("value") > F.col("high"), "reduce").when(F.col("value") < F.col("low"), "increase")).where("direction IS NOT NULL")
     edge = F.when(F.col("direction") == "reduce", F.col("high")).otherwise(F.col("low"))
     z = F.when(F.col("scale") > 0, (F.col("value") - F.col("mean")) / F.col("scale")).otherwise(0.0)
     scored = placed.withColumn("edge", edge).withColumn("z", z).withColumn("deviation", F.abs(F.col("value") - edge) / (F.abs(edge) + floor)).where(F.col("deviation") >= LEAST_DEVIATION)

@@ -274,3 +274,24 @@ def participial(docs: DataFrame) -> DataFrame:
     hit = (F.size("p") >= 4) & F.exists(F.sequence(middle, F.greatest(middle, F.size("p") - 2)), lambda i: (F.get("p", i) == ",") & F.coalesce(verb(F.get("p", i + 1)), F.lit(False)))
     grouped = each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count_if(hit).alias("hits"))
     return grouped.select("doc_id", F.lit("biber:participial_clause_rate").alias("dim"), per_1k(F.col("hits"), F.col("n")).alias("value"))
+
+
+def structural(docs: DataFrame) -> DataFrame:
+    """Rules of three (`a, b, and c` of single words), sentences with two em dashes or more, and headings whose long words are all
+    capitalised, per 1,000 tokens."""
+    parts = F.regexp_extract_all("text", F.lit(rf"({W.TOKEN}|[^\x20\x09-\x0D])"), 1)
+    word = lambda i: F.coalesce(F.regexp(F.get("parts", i), F.lit(r"^[\p{L}\p{Nd}_]")), F.lit(False))
+    sign = lambda i, x: F.coalesce(F.lower(F.get("parts", i)) == x, F.lit(False))
+    three = lambda i: word(i) & sign(i + 1, ",") & word(i + 2) & sign(i + 3, ",") & sign(i + 4, "and") & word(i + 5)
+    long_words = F.filter(F.split(F.regexp_replace("line", r"^[#\x20]+", ""), r"[\x20\x09]+"), lambda w: F.octet_length(w) > 3)
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.regexp("line", F.lit(r"^#{1,6}\x20")))
+    titled = (F.size(long_words) >= 2) & F.forall(long_words, lambda w: F.regexp(w, F.lit(r"^\p{Lu}")))
+    headings = lines.groupBy("doc_id").agg(F.count_if(titled).alias("titles"))
+    chains = F.size(F.filter(F.regexp_extract_all("text", F.lit(f"({W.SENTENCE})"), 1), lambda x: count_of(x, "\u2014") >= 2))
+    sized = _sized(docs, True).select("doc_id", "n", parts.alias("parts"), chains.alias("chains"))
+    triples = F.size(F.filter(F.sequence(F.lit(0), F.size("parts")), three))
+    joined = sized.select("doc_id", "n", "chains", triples.alias("triples")).join(headings, "doc_id", "left")
+    return unpivot(joined, "doc_id", {
+        "lex:structural:rule_of_three": per_1k(F.col("triples"), F.col("n")), "lex:structural:em_dash_chain": per_1k(F.col("chains"), F.col("n")),
+        "lex:structural:title_case_heading": per_1k(F.coalesce("titles", F.lit(0)), F.col("n")),
+    })

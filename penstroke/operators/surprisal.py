@@ -52,3 +52,9 @@ def series(scored: DataFrame, low: float, prefix: str = "surp:char") -> DataFram
         f"{prefix}_mean": F.col("mean"), f"{prefix}_stddev": F.sqrt("v"), f"{prefix}_variance": F.col("v"), f"{prefix}_fano": F.when(F.col("mean") > 0, F.col("v") / F.col("mean")).otherwise(0.0),
         f"{prefix}_p10": F.col("q")[0], f"{prefix}_p90": F.col("q")[1], f"{prefix}_autocorr": F.when(F.col("var") > 1e-9, F.coalesce(F.col("cov"), F.lit(0.0)) / F.col("var")).otherwise(0.0), f"{prefix}_low_share": F.col("low"),
     })
+
+
+def peaks(scored: DataFrame, k: int) -> DataFrame:
+    """(doc_id, rank, i, unit, bits): the k most surprising units of each document, ties by place."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("bits", 9)), "i")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "rank", "i", "unit", "bits")

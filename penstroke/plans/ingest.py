@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from penstroke.functions import ingest as I
 from penstroke.functions import words as W
 from penstroke.operators import features
-from penstroke.plans.lexical import SENT, _q, documents, query, rounded
+from penstroke.plans.lexical import SENT, _long, _q, documents, query, rounded
 
 _NOTES = (*I.APPARATUS, *I.TAIL_PHRASES, "First published in 1901", "About the author", "Also by somebody", "plain words")
 _BOOK = f"""lines AS (SELECT p_size AS book, p_partkey AS k, CASE WHEN p_partkey % 7 < 5 THEN p_partkey % 100 || '. ' || upper(p_name) WHEN p_partkey % 11 = 0 THEN p_name || chr(10) || chr(10) || [{', '.join(map(_q, _NOTES))}][p_partkey % {len(_NOTES)} + 1] || chr(10) || chr(10) ELSE p_name END AS line FROM part),
@@ -83,3 +83,23 @@ def register_reasons(spark, sf):
     lines = documents(spark, sf).select(F.concat_ws("\t", F.concat_ws(" ", "lang", "source"), F.col("doc_id").cast("string"), F.col("text")).alias("value"))
     judged = I.register_verdicts(I.read_register_rows(lines), {f"src{k}": f"src{k}" for k in range(3)}, "http", 1, 50)
     return judged.groupBy(F.coalesce("reason", F.concat(F.lit("kept "), "register")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_MARKED = """t AS (SELECT doc_id, '# ' || upper(left(coalesce(text, ''), 1)) || 'itle Words Here' || chr(10) || replace(replace(coalesce(text, ''), ' the ', ', and '), ' of ', CASE WHEN doc_id % 2 = 0 THEN ' — ' ELSE ' of ' END) AS text FROM documents)"""
+
+
+def _marked(spark, sf):
+    """Documents with a heading, and with commas and dashes in the place of some words."""
+    text = F.coalesce("text", F.lit(""))
+    body = F.replace(F.replace(text, F.lit(" the "), F.lit(", and ")), F.lit(" of "), F.when(F.col("doc_id") % 2 == 0, " — ").otherwise(" of "))
+    return documents(spark, sf).select("doc_id", F.concat(F.lit("# "), F.upper(F.left(text, F.lit(1))), F.lit("itle Words Here\n"), body).alias("text"))
+
+
+@query(rf"""WITH {_MARKED}, s AS (SELECT doc_id, text, len(regexp_extract_all(lower(text), {_q(W.TOKEN)})) AS n, regexp_extract_all(text, {_q('(?:' + W.TOKEN + ')|[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]')}) AS p,
+  len(list_filter(regexp_extract_all(text, {_q(W.SENTENCE)}), lambda x: length(x) - length(replace(x, '—', '')) >= 2)) AS chains,
+  len(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} ')), lambda x: list_filter(regexp_split_to_array(regexp_replace(x, '^[# ]+', ''), '[ \t]+'), lambda w: strlen(w) > 3)),
+    lambda ws: len(ws) >= 2 AND len(list_filter(ws, lambda w: NOT regexp_matches(w, '^\p{{Lu}}'))) = 0)) AS titles FROM t),
+c AS (SELECT *, len(list_filter(range(1, len(p) - 4), lambda i: regexp_matches(p[i], '^[\p{{L}}\p{{Nd}}_]') AND p[i + 1] = ',' AND regexp_matches(p[i + 2], '^[\p{{L}}\p{{Nd}}_]') AND p[i + 3] = ',' AND lower(p[i + 4]) = 'and' AND regexp_matches(p[i + 5], '^[\p{{L}}\p{{Nd}}_]'))) AS triples FROM s WHERE n > 0)
+""" + _long({"lex:structural:rule_of_three": "1000.0 * triples / n", "lex:structural:em_dash_chain": "1000.0 * chains / n", "lex:structural:title_case_heading": "1000.0 * titles / n"}, "c"))
+def structural_rules(spark, sf):
+    return rounded(features.structural(_marked(spark, sf)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penstroke.functions import words as W
-from penstroke.operators import agreement, contrast, reference, vocabulary
-from penstroke.plans.lexical import _GRAM, _ODDS, TOK, _count, _long, _q, _sides, documents, query, rounded
+from penstroke.operators import agreement, contrast, critique, distance, reference, surprisal, vocabulary
+from penstroke.plans.lexical import _GRAM, _ODDS, _SURP, _Z, TOK, _author_vectors, _count, _long, _q, _sides, documents, query, rounded
 
 SIZES = {"word": 50, "punct": 32, "gram": 40}
 
@@ -96,3 +96,27 @@ def longer_side_wins(spark, sf):
     side = lambda role, name: turns.where(F.col("role") == role).groupBy("conv_id").agg(F.avg(F.length("text")).alias(name))
     judged = side("assistant", "a").join(side("user", "b"), "conv_id").select(F.when(F.col("a") > F.col("b"), "win").when(F.col("a") < F.col("b"), "loss").otherwise("tie").alias("result"))
     return rounded(agreement.win_rate(judged))
+
+
+@query(f"WITH {TOK}, u AS (SELECT * FROM (SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS context, w AS unit FROM tok) WHERE context IS NOT NULL)" + _SURP[: _SURP.index(",\nf AS")].replace("SELECT doc_id, i, -log2", "SELECT doc_id, i, unit, -log2")
+       + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(bits, 9) DESC, i)::BIGINT AS rank, i::BIGINT AS i, unit, round(bits, 6) AS bits FROM b QUALIFY rank <= 3")
+def surprising_words(spark, sf):
+    units = surprisal.word_units(documents(spark, sf))
+    return rounded(surprisal.peaks(surprisal.score(units, surprisal.fit(units)), 3))
+
+
+@query(f"""{_Z}, st AS (SELECT term, avg(value) AS mean, stddev_samp(value) AS sd, greatest(stddev_samp(value), 0.002) AS scale FROM r GROUP BY term),
+q AS (SELECT d.term, abs(d.z - y.z) - abs(d.z - x.z) AS pull, d.u AS observed, y.u AS aim FROM z d JOIN z x ON x.term = d.term AND x.author = 'src1' JOIN z y ON y.term = d.term AND y.author = 'src2' WHERE d.author = 'src0'),
+b AS (SELECT term, observed, (observed - mean) / scale AS z, aim - greatest(sd * 0.5, 0.0005) AS low, aim + greatest(sd * 0.5, 0.0005) AS high FROM q JOIN st USING (term) WHERE pull > 0),
+e AS (SELECT *, CASE WHEN observed > high THEN 'reduce' WHEN observed < low THEN 'increase' END AS direction, CASE WHEN observed > high THEN high ELSE low END AS edge FROM b),
+g AS (SELECT *, abs(observed - edge) / (abs(edge) + 0.002) AS deviation FROM e WHERE direction IS NOT NULL)
+SELECT replace(term, ':', '.') AS id, direction, round(observed, 6) AS observed, round(low, 6) AS low, round(high, 6) AS high, round(deviation, 6) AS deviation,
+  CASE greatest(CASE WHEN abs(z) >= 3 THEN 2 WHEN abs(z) >= 2 THEN 1 ELSE 0 END, CASE WHEN deviation >= 1 THEN 2 WHEN deviation >= 0.35 THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE deviation >= 0.05""")
+def contrast_findings(spark, sf):
+    z, u, _ = _author_vectors(spark, sf)
+    stats = distance.dim_stats(u, W.NOISE_FLOORS["frequency"])
+    side = lambda name: distance.pairs(z.where("id = 'src0'"), z.where(F.col("id") == name), "z")
+    pulls = distance.classify(side("src1"), side("src2"), "burrows").withColumnRenamed("a", "doc_id")
+    drafts = u.where("id = 'src0'").withColumnRenamed("id", "doc_id")
+    found = critique.contrast_findings(drafts, u.where("id = 'src2'"), pulls, stats, W.NOISE_FLOORS["frequency"], 1000)
+    return rounded(found.select("id", "direction", "observed", "low", "high", "deviation", "severity"))
