@@ -30,14 +30,14 @@ def profiles(samples: DataFrame, vocabulary: list[str], stats: DataFrame) -> Dat
 
 
 def pair_distances(vectors: DataFrame, metric: str = "burrows") -> DataFrame:
-    """(same, distance) of each two sampled texts; the sample is bounded, so are its pairs."""
+    """(a, b, same, distance) of each two sampled texts; the sample is bounded, so are its pairs."""
     a = vectors.select(F.col("id").alias("a"), F.col("author").alias("aa"), "dim", F.col("z").alias("x"))
     b = vectors.select(F.col("id").alias("b"), F.col("author").alias("ab"), "dim", F.col("z").alias("y"))
     paired = a.join(b, "dim").where("a < b")
     found = distances(paired, metric)
     authors = vectors.select("id", "author").distinct()
     named = found.join(authors.withColumnRenamed("id", "a").withColumnRenamed("author", "aa"), "a").join(authors.withColumnRenamed("id", "b").withColumnRenamed("author", "ab"), "b")
-    return named.select((F.col("aa") == F.col("ab")).alias("same"), "distance")
+    return named.select("a", "b", (F.col("aa") == F.col("ab")).alias("same"), "distance")
 
 
 def subsample(pairs: DataFrame, keep: int) -> DataFrame:
@@ -48,6 +48,15 @@ def subsample(pairs: DataFrame, keep: int) -> DataFrame:
     return chosen.groupBy("same").agg(F.array_sort(F.collect_list("distance")).alias("sample"))
 
 
+#: Least sample of either side of a bin.
+LEAST_SAMPLE = 30
+
+
+def enough(bins: DataFrame, least: int = LEAST_SAMPLE) -> DataFrame:
+    """The bins (tokens, same, different) with enough samples on both sides."""
+    return bins.where((F.coalesce(F.size("same"), F.lit(0)) >= least) & (F.coalesce(F.size("different"), F.lit(0)) >= least))
+
+
 def ecdf(sample: Column, at: Column) -> Column:
     """Share of the sample at or below a value."""
     return F.when(F.size(sample) > 0, F.size(F.filter(sample, lambda x: x <= at)) / F.size(sample))

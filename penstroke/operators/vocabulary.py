@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penstroke.functions.text import ratio, tokens
+from penstroke.functions.text import tokens
 
 
 def term_frequencies(terms: DataFrame) -> DataFrame:
@@ -16,19 +16,16 @@ def term_frequencies(terms: DataFrame) -> DataFrame:
 
 def frequent_words(docs: DataFrame, k: int = 500, culling: float = 0.0) -> DataFrame:
     """(term, n, df, rank): the k most frequent words, ties by word, in at least the share `culling` of documents."""
-    least = F.lit(culling) * docs.count()
-    counts = term_frequencies(tokens(docs).withColumnRenamed("w", "term")).where(F.col("df") >= F.ceil(least))
+    counts = term_frequencies(tokens(docs).withColumnRenamed("w", "term"))
+    if culling:
+        counts = counts.where(F.col("df") >= F.ceil(F.lit(culling) * docs.count()))
     top = counts.orderBy(F.desc("n"), "term").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term")))  # k rows
 
 
 def word_rates(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term, value): relative frequency of each vocabulary word in each document, 0 included."""
-    each = tokens(docs).withColumnRenamed("w", "term")
-    size = each.groupBy("doc_id").agg(F.count("*").alias("size"))
-    hits = each.join(F.broadcast(vocabulary.select("term")), "term").groupBy("doc_id", "term").agg(F.count("*").alias("c"))
-    grid = size.withColumn("term", F.explode(F.array(*(F.lit(r.term) for r in vocabulary.select("term").collect()))))  # k terms
-    return grid.join(hits, ["doc_id", "term"], "left").select("doc_id", "term", ratio(F.coalesce("c", F.lit(0)), F.col("size")).alias("value"))
+    return rates(universe(docs, "word"), vocabulary)
 
 
 def char_grams(docs: DataFrame, n: int) -> DataFrame:

@@ -204,9 +204,22 @@ def sentence_openers(spark, sf):
     return rounded(features.openers(documents(spark, sf)))
 
 
-@query(f"WITH {TOK}, m(w) AS (VALUES {_values((m,) for m in W.MARKERS)}) SELECT doc_id, 'sent:marker:' || w AS dim, round(1000.0 * count(*) / any_value(z.n), 6) AS value FROM tok JOIN m USING (w) JOIN sized z USING (doc_id) GROUP BY doc_id, w")
+#: The tables hold none of these words and traces: some of their words are replaced by them here.
+_PLANTED = "SELECT doc_id, source, lang, replace(replace(replace(replace(coalesce(text, ''), ' of ', ' however '), ' der ', ' indeed '), ' de ', ' Moreover '), ' the ', ' the' || chr(8203) || ' ') || CASE WHEN doc_id % 3 = 0 THEN ' oaicite turn0search1' ELSE '' END AS text FROM documents"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with discourse markers, invisible characters and traces of chat windows in them."""
+    text = F.coalesce("text", F.lit(""))
+    for a, b in ((" of ", " however "), (" der ", " indeed "), (" de ", " Moreover "), (" the ", " the\u200b ")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    trace = F.when(F.col("doc_id") % 3 == 0, " oaicite turn0search1").otherwise("")
+    return documents(spark, sf_dir).withColumn("text", F.concat(text, trace))
+
+
+@query(f"WITH {TOK.replace('FROM documents)', f'FROM ({_PLANTED}))', 1)}, m(w) AS (VALUES {_values((m,) for m in W.MARKERS)}) SELECT doc_id, 'sent:marker:' || w AS dim, round(1000.0 * count(*) / any_value(z.n), 6) AS value FROM tok JOIN m USING (w) JOIN sized z USING (doc_id) GROUP BY doc_id, w")
 def discourse_markers(spark, sf):
-    return rounded(features.markers(documents(spark, sf)))
+    return rounded(features.markers(planted(spark, sf)))
 
 
 _KIND = {"heading": r"^#{1,6}\x20", "rule": r"^(-{3,}|\*{3,}|_{3,})$", "bullet": r"^[-*+]\x20", "numbered": r"^[0-9]{1,3}[.)]\x20", "quote": "^>", "table": r"^\|.+\|$"}
@@ -299,12 +312,12 @@ def catalogues(spark, sf):
     return rounded(features.catalogues(documents(spark, sf)))
 
 
-@query(r"WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) " + _long({
+@query(f"WITH t AS ({_PLANTED}) " + _long({
     "artifact.zero_width": _n(r"[\x{AD}\x{61C}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{FFF9}-\x{FFFB}]"),
     "artifact.chatbot_residue": " + ".join(f"(length(text) - length(replace(text, {_q(r)}, ''))) / {len(r)}" for r in W.RESIDUE),
 }, "t", "doc_id", "WHERE value > 0"))
 def artifact_counts(spark, sf):
-    return rounded(features.artifacts(documents(spark, sf)))
+    return rounded(features.artifacts(planted(spark, sf)))
 
 
 @query(f"WITH {TOK}, f(family, low, ok) AS (VALUES {_values((f, *x) for f, x in W.FLOORS.items())}) SELECT doc_id, family, CASE WHEN len(ws) < low THEN 'none' WHEN len(ws) < ok THEN 'low' ELSE 'ok' END AS confidence FROM docs CROSS JOIN f")

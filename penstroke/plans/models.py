@@ -143,14 +143,14 @@ def _sampled(spark: SparkSession, sf_dir: str, size: int, per_author: int = 5) -
 
 @query()
 def calibrated_distances(spark, sf):
-    """Distances of sampled pairs, assessed against distributions at two lengths."""
+    """Distances of all pairs of texts sampled at one length, assessed against distributions at others."""
     bins = None
-    for size in (50, 200):
+    for size in (64, 128, 256, 512):
         sides = calibrate.subsample(_sampled(spark, sf, size), 200)
         one = sides.groupBy(F.lit(size).alias("tokens")).agg(F.first(F.when(F.col("same"), F.col("sample")), ignorenulls=True).alias("same"), F.first(F.when(~F.col("same"), F.col("sample")), ignorenulls=True).alias("different"))
         bins = one if bins is None else bins.unionByName(one)
-    asked = spark.createDataFrame([(k, k + 1, 0.1 * k, 40 * k + 10, 120) for k in range(1, 16)], "a long, b long, distance double, tokens_a int, tokens_b int")
-    return rounded(calibrate.assess(asked, bins))
+    asked = _sampled(spark, sf, 100).select("a", "b", "distance", F.lit(100).alias("tokens_a"), F.lit(100).alias("tokens_b"))
+    return rounded(calibrate.assess(asked, calibrate.enough(bins)))
 
 
 @query()
@@ -169,16 +169,17 @@ def best_thresholds(spark, sf):
     return verify.optimize_thresholds(rates.join(labels, "doc_id").select((1 / (1 + F.col("value") / 10)).alias("score"), "same"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(sum(abs(a.x - b.x)), 4) AS l1, round(sum(a.x * b.x), 4) + 0.0 AS dot FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 5) a JOIN (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) b USING (i) GROUP BY a.vec_id, b.vec_id")
-def vector_distances(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    paired = distance.pairs(vectors.where("id < 5"), vectors, "v")  # five query vectors against all
-    return paired.groupBy("a", "b").agg(F.round(F.sum(F.abs(F.col("x") - F.col("y"))), 4).alias("l1"), (F.round(F.sum(F.col("x") * F.col("y")), 4) + F.lit(0.0)).alias("dot"))
+_SEARCH = "SELECT a.vec_id AS a, b.vec_id AS b, round(sum(abs(a.x - b.x)), 4) AS l1, round(sum(a.x * b.x), 4) + 0.0 AS dot FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 50 = 0) a JOIN (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) b USING (i) GROUP BY a.vec_id, b.vec_id"
 
 
-@query()
-def vector_distances_every_50th(spark, sf):
-    """Each vector whose vec_id is divisible by 50 against all."""
+@query(_SEARCH)
+def vector_distances(spark, sf):
+    """Each vector whose vec_id is divisible by 50 against all, in blocks of queries."""
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     found = distance.dense_pairs(vectors.where("id % 50 = 0"), vectors)
     return found.select("a", "b", F.round("l1", 4).alias("l1"), (F.round("dot", 4) + F.lit(0.0)).alias("dot"))
+
+
+@query(_SEARCH)
+def vector_distances_every_50th(spark, sf):
+    return vector_distances(spark, sf)
