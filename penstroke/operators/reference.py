@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penstroke.functions import words as W
@@ -169,6 +169,35 @@ def family_gaps(profiles: DataFrame, reference: Reference) -> DataFrame:
     return profiles.join(F.broadcast(dims), "dim").groupBy("doc_id", "family").agg(F.avg(F.abs("z")).alias("gap"))
 
 
+#: Families held out in the place of one that a reference lacks, those hardest to write toward first.
+CANARIES = ("gram", "word")
+
+
+def resolve_canary(families: list[str], wanted: str | None) -> tuple[str | None, str | None]:
+    """The family to hold out of a critique, and a note where it isn't the one wanted."""
+    if wanted is None:
+        return None, "no family is held out: writing toward the findings will not be noticed"
+    if wanted in families:
+        return wanted, None
+    for other in CANARIES:
+        if other in families:
+            return other, f"family {wanted} is not in this reference; {other} is held out instead"
+    return None, f"family {wanted} is not in this reference and there is no other to hold out"
+
+
+def review(reference: Reference, drafts: DataFrame, targets: DataFrame, canary: str | None = "gram") -> DataFrame:
+    """(doc_id, target, distance, canary_gap) of drafts: the target of median distance, so that one unusual target counts for little, and the mean
+    distance from it over the held-out family, which shows drafts that only move where a critique looks. Both are profiles; targets are few."""
+    family, _ = resolve_canary([d["family"] for d in reference.dims], canary)
+    found = compare(reference, drafts, targets).withColumn("n", F.count("*").over(Window.partitionBy("a")))
+    chosen = found.where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select(F.col("a").alias("doc_id"), F.col("b").alias("target"), "distance")
+    held = F.broadcast(reference.table(drafts.sparkSession).where(F.col("family") == F.lit(family)).select("dim"))
+    mine = drafts.join(held, "dim").select("doc_id", "dim", "z")
+    theirs = targets.join(held, "dim").select(F.col("doc_id").alias("target"), "dim", F.col("z").alias("aim"))
+    gaps = chosen.join(mine, "doc_id").join(theirs, ["target", "dim"]).groupBy("doc_id").agg(F.avg(F.abs(F.col("z") - F.col("aim"))).alias("canary_gap"))
+    return chosen.join(gaps, "doc_id", "left")
+
+
 def coverage(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, tokens, missing): length of a document and the number of dimensions that it has no value for."""
     return lengths(docs).join(profiles.groupBy("doc_id").agg(F.count_if("missing").alias("missing")), "doc_id")

@@ -58,3 +58,10 @@ def peaks(scored: DataFrame, k: int) -> DataFrame:
     """(doc_id, rank, i, unit, bits): the k most surprising units of each document, ties by place."""
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("bits", 9)), "i")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "rank", "i", "unit", "bits")
+
+
+def low_threshold(scored: DataFrame, share: float = 0.25) -> DataFrame:
+    """(low): the bits below which this share of all units of a corpus lies. Units are counted by value first, so that tasks
+    exchange a count for each distinct value."""
+    counted = scored.groupBy("bits").agg(F.count("*").alias("n"))
+    return counted.agg(F.percentile("bits", F.lit(share), F.col("n")).alias("low"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penstroke.functions import words as W
+from penstroke.functions.text import lengths
 from penstroke.operators import agreement, contrast, critique, distance, reference, surprisal, vocabulary
 from penstroke.plans.lexical import _GRAM, _ODDS, _SURP, _Z, TOK, _author_vectors, _count, _long, _q, _sides, documents, query, rounded
 
@@ -120,3 +121,34 @@ def contrast_findings(spark, sf):
     drafts = u.where("id = 'src0'").withColumnRenamed("id", "doc_id")
     found = critique.contrast_findings(drafts, u.where("id = 'src2'"), pulls, stats, W.NOISE_FLOORS["frequency"], 1000)
     return rounded(found.select("id", "direction", "observed", "low", "high", "deviation", "severity"))
+
+
+@query(f"WITH {TOK}, u AS (SELECT * FROM (SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS context, w AS unit FROM tok) WHERE context IS NOT NULL)" + _SURP[: _SURP.index(",\nf AS")] + " SELECT round(quantile_cont(bits, 0.25), 6) AS low FROM b")
+def surprisal_threshold(spark, sf):
+    units = surprisal.word_units(documents(spark, sf))
+    return rounded(surprisal.low_threshold(surprisal.score(units, surprisal.fit(units))))
+
+
+@query(f"WITH {TOK} SELECT doc_id, len(ws)::BIGINT AS tokens FROM docs")
+def document_lengths(spark, sf):
+    return lengths(documents(spark, sf))
+
+
+@query(f"{_Z}, n(term, family) AS (SELECT term, CASE WHEN length(term) <= 2 THEN 'short' ELSE 'long' END FROM v) SELECT b AS author, family, round(sum(abs(x - y) / 50), 6) AS contribution FROM p JOIN n USING (term) GROUP BY b, family")
+def family_contributions(spark, sf):
+    z, _, _ = _author_vectors(spark, sf)
+    named = z.withColumn("dim", F.concat(F.when(F.length("dim") <= 2, "short:").otherwise("long:"), "dim"))
+    terms = distance.contributions(distance.pairs(named.where("id = 'src0'"), named.where("id != 'src0'"), "z"), "burrows")
+    return rounded(distance.by_family(terms, "contribution").select(F.col("b").alias("author"), "family", "contribution"))
+
+
+@query(_MEASURED + """, aims AS (SELECT source AS target, dim, avg(z) AS z FROM profiled JOIN documents USING (doc_id) GROUP BY ALL),
+scored AS (SELECT p.doc_id, t.target, avg(abs(p.z - t.z)) AS distance, avg(abs(p.z - t.z)) FILTER (p.family = 'gram') AS gap FROM profiled p JOIN aims t USING (dim) WHERE p.doc_id % 50 = 0 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, target) AS rank, count(*) OVER (PARTITION BY doc_id) AS n FROM scored)
+SELECT doc_id, target, round(distance, 6) AS distance, round(gap, 6) AS canary_gap FROM o WHERE rank = n // 2 + 1""")
+def reviews(spark, sf):
+    """Documents whose doc_id is divisible by 50 against the mean profile of each author."""
+    docs, fitted = documents(spark, sf), _fitted(spark, sf)
+    profiles = reference.profile(docs, fitted)
+    means = profiles.join(docs.select("doc_id", "author"), "doc_id").groupBy("fingerprint", F.col("author").alias("doc_id"), "dim").agg(F.avg("z").alias("z"))
+    return rounded(reference.review(fitted, profiles.where("doc_id % 50 = 0"), means))

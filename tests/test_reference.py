@@ -66,3 +66,16 @@ def test_agreement(spark):
     assert threshold == 9.0 and abs(tpr - 2 / 3) < 1e-9
     assert tuple(agreement.win_rate(spark.createDataFrame([("win",), ("loss",), ("win",), ("tie",)], "result string")).first()) == (4, 3, 2, 2 / 3)
     assert agreement.win_rate(spark.createDataFrame([("tie",)], "result string")).first().win_rate is None
+
+
+def test_canaries():
+    assert reference.resolve_canary(["word", "gram"], "gram") == ("gram", None)
+    assert reference.resolve_canary(["punct", "word"], "rich")[0] == "word" and "instead" in reference.resolve_canary(["punct", "word"], "rich")[1]
+    assert reference.resolve_canary(["punct"], "rich")[0] is None and reference.resolve_canary(["gram"], None)[0] is None
+
+
+def test_review_takes_the_median_target(docs, fitted):
+    profiles = reference.profile(docs, fitted)
+    found = reference.review(fitted, profiles.where("doc_id = 0"), profiles.where("doc_id IN (0, 1, 2)")).collect()
+    order = [r.b for r in sorted(reference.compare(fitted, profiles.where("doc_id = 0"), profiles.where("doc_id IN (0, 1, 2)")).collect(), key=lambda r: r["rank"])]
+    assert [(r.doc_id, r.target) for r in found] == [(0, order[1])] and order[0] == 0 and found[0].canary_gap > 0
