@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from penstroke.llm import sentence_spans, urls
+from penstroke.llm import chat, sentence_spans, urls
 from penstroke.llm.alignment import op11_byte_owners
 from penstroke.llm.decontaminate import op1_qgram_decontamination
 from penstroke.llm.jaccard import op7_parity_jaccard
@@ -17,7 +17,7 @@ QUERIES = {
     for f in (
         op1_qgram_decontamination, sentence_spans.op2_sentence_spans, op3_language_mixture, urls.op4_url_rules, op5_secret_scan,
         op6_lookup_sharding, op7_parity_jaccard, op8_length_buckets, op9_suffix_dedup, op10_quality_rules, op11_byte_owners,
-        op13_digit_whitening,
+        chat.op12_shape_formatting, op13_digit_whitening,
     )
 }
-ORACLES = {"op2_sentence_spans": sentence_spans.ORACLE, "op4_url_rules": urls.ORACLE}
+ORACLES = {"op2_sentence_spans": sentence_spans.ORACLE, "op4_url_rules": urls.ORACLE, "op12_shape_formatting": chat.ORACLE}
