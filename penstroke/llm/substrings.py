@@ -13,10 +13,12 @@ wherever it occurs (the last among equals): its anchor. A window can only repeat
 3. A gram with more than HOT occurrences (the LISTED most frequent of them, should there be more) has its windows dealt one by
    one, by the hash of the window: the surroundings of a passage common to very many documents never meet in one task.
 
-Degenerate rows: null and empty texts have no byte; rows with one doc_id are one document (equal texts are expected
-there; spans are cut to the row's own text), so they remove nothing from each other at one place and lose the same bytes; a null
-doc_id is a document before all others; an empty table gives no rows; further columns are kept by `dedupe`, those named as
-its results replaced.
+A document is a doc_id with a text, by 64 bits of hash: rows that share a doc_id (or have none) and differ in text are documents of their
+own, in the order of the hashes where their doc_ids tell no order.
+
+Degenerate rows: null and empty texts have no byte; rows with equal doc_id and text (both without doc_id, too) are one document, so they remove nothing from each
+other and lose the same bytes; rows without doc_id come before all others; an empty table gives no rows; further columns are kept
+by `dedupe`, those named as its results replaced.
 """
 
 from __future__ import annotations
@@ -37,13 +39,13 @@ WINDOWS = LENGTH - GRAM + 1
 LEFT = WINDOWS - 1
 HOT, LISTED = 2_000, 1_000_000
 BUCKET = 400_000
-SCHEMA = "kind int, bucket long, blob binary"
+SCHEMA = "kind int, bucket long, of long, blob binary"
 
-ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("back", "u1"), ("run", "u1"), ("many", "<u4")])
-PLACE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("back", "u1"), ("run", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
-AROUND = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("back", "u1"), ("run", "u1"), ("bytes", "u1", (LEFT + LENGTH,))])
-WINDOW = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("of", "<i8"), ("at", "<u4"), ("back", "u1"), ("run", "u1"), ("many", "<u4")])
+PLACE = np.dtype([("doc", "<i8"), ("of", "<i8"), ("at", "<u4"), ("back", "u1"), ("run", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("of", "<i8"), ("start", "<u4"), ("end", "<u4")])
+AROUND = np.dtype([("key", "<u8"), ("doc", "<i8"), ("of", "<i8"), ("at", "<u4"), ("back", "u1"), ("run", "u1"), ("bytes", "u1", (LEFT + LENGTH,))])
+WINDOW = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("of", "<i8"), ("at", "<u4")])
 
 
 def gram_hashes(flat: np.ndarray, width: int = GRAM, seed: int = 0) -> np.ndarray:
@@ -86,7 +88,12 @@ def _deal(kind: int, values: np.ndarray, keys: np.ndarray, buckets: int) -> Iter
     start = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(start[1:], len(bucket))
     blobs = [values[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
-    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(start), kind, np.int32)), "bucket": bucket[start], "blob": pa.array(blobs, pa.binary())})
+    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(start), kind, np.int32)), "bucket": bucket[start], "of": np.zeros(len(start), np.int64), "blob": pa.array(blobs, pa.binary())})
+
+
+def _document(values: np.ndarray) -> np.ndarray:
+    """A hash of the document of each place."""
+    return mix(values["doc"].astype(np.uint64)) ^ values["of"].astype(np.uint64)
 
 
 def _read(group: pa.Table, kind: int, shape: np.dtype) -> np.ndarray:
@@ -102,12 +109,12 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def _table(kind: int, values: np.ndarray) -> pa.Table:
-    """Rows (kind, doc, blob), a blob for each document."""
-    values = values[np.argsort(values["doc"], kind="stable")]
-    start = np.flatnonzero(_first_of(values["doc"])) if len(values) else np.zeros(0, np.int64)
+    """Rows (kind, doc, of, blob), a blob for each document."""
+    values = values[np.lexsort((values["of"], values["doc"]))]
+    start = np.flatnonzero(_first_of(values["doc"], values["of"])) if len(values) else np.zeros(0, np.int64)
     ends = np.append(start[1:], len(values))
     blobs = [values[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=False)]
-    return pa.table({"kind": pa.array(np.full(len(start), kind, np.int32)), "bucket": values["doc"][start], "blob": pa.array(blobs, pa.binary())})
+    return pa.table({"kind": pa.array(np.full(len(start), kind, np.int32)), "bucket": values["doc"][start], "of": values["of"][start], "blob": pa.array(blobs, pa.binary())})
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -115,8 +122,8 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def settle_batch(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(found)
-        every = every[np.lexsort((every["at"], every["doc"], every["key"]))]
-        every = every[_first_of(every["key"], every["doc"], every["at"])] if len(every) else every
+        every = every[np.lexsort((every["at"], every["of"], every["doc"], every["key"]))]
+        every = every[_first_of(every["key"], every["doc"], every["of"], every["at"])] if len(every) else every
         first = np.flatnonzero(_first_of(every["key"])) if len(every) else np.zeros(0, np.int64)
         many = np.diff(np.append(first, len(every)))
         every["many"][first] = many
@@ -126,15 +133,16 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         places = np.empty(int(others.sum()), PLACE)
         for name in PLACE.names:
             places[name] = every[name][others]
-        yield from _deal(1, places, places["doc"].astype(np.uint64), buckets)
+        yield from _deal(1, places, _document(places), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for batch in chunks(batches, 1):
-            flat, offsets = byte_view(texts_of(batch.column(1)))
+        for batch in chunks(batches, 2):
+            flat, offsets = byte_view(texts_of(batch.column(2)))
             key, row, at, low, high = anchors(flat, offsets)
             out = np.zeros(len(key), ANCHOR)
-            out["key"], out["doc"], out["at"], out["back"], out["run"] = key, batch.column(0).to_numpy()[row], at - offsets[row], at - low, high - low
+            out["key"], out["at"], out["back"], out["run"] = key, at - offsets[row], at - low, high - low
+            out["doc"], out["of"] = (batch.column(k).to_numpy()[row] for k in (0, 1))
             found.append(out)
             held += len(out)
             if held >= 1 << 20:
@@ -154,14 +162,14 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             places[name] = every[name][again]
         hot = total > HOT
         grams = every["key"][first][hot]
-        listed = pa.table({"kind": pa.array([1] * len(grams), pa.int32()), "bucket": pa.array(total[hot], pa.int64()), "blob": pa.array([g.tobytes() for g in grams], pa.binary())})
+        listed = pa.table({"kind": pa.array([1] * len(grams), pa.int32()), "bucket": pa.array(total[hot], pa.int64()), "of": pa.array(np.zeros(len(grams), np.int64)), "blob": pa.array([g.tobytes() for g in grams], pa.binary())})
         return pa.concat_tables([_dealt(np.concatenate((places, _read(group, 1, PLACE))), buckets), listed])
 
     return docs.mapInArrow(run, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA)
 
 
 def by_document(dealt: DataFrame, shape: np.dtype) -> DataFrame:
-    """(kind, doc, blob): one row for each document, of blobs dealt by document."""
+    """(kind, doc, of, blob): one row for each document, of blobs dealt by document."""
 
     def merge(group: pa.Table) -> pa.Table:
         return _table(0, np.concatenate([np.frombuffer(b, shape) for b in group.column("blob").to_pylist()]))
@@ -171,8 +179,8 @@ def by_document(dealt: DataFrame, shape: np.dtype) -> DataFrame:
 
 def _dealt(values: np.ndarray, buckets: int) -> pa.Table:
     """Blobs of values dealt by document."""
-    kinds = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
-    return pa.Table.from_batches(list(_deal(0, values, values["doc"].astype(np.uint64), buckets)), kinds)
+    kinds = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("of", pa.int64()), ("blob", pa.binary())])
+    return pa.Table.from_batches(list(_deal(0, values, _document(values), buckets)), kinds)
 
 
 def _window_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +200,14 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
 
     def settle_batch(around: list[np.ndarray], windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, single = np.concatenate(around), np.concatenate(windows)
-        rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+        rows = rows[np.lexsort((rows["at"], rows["of"], rows["doc"]))]
         known, other = _first_copies(rows)
         yield from _deal(0, rows[known], rows["key"][known], buckets)
-        single = single[np.lexsort((single["at"], single["doc"], single["more"], single["key"]))]
+        single = single[np.lexsort((single["at"], single["of"], single["doc"], single["more"], single["key"]))]
         first, later = _first_windows(single)
         yield from _deal(2, single[first], single["key"][first], buckets)
-        spans = np.concatenate((_whole_spans(rows[other]), _spans(single["doc"][later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH)))
-        yield from _deal(1, spans, spans["doc"].astype(np.uint64), buckets)
+        spans = np.concatenate((_whole_spans(rows[other]), _spans(single[later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH)))
+        yield from _deal(1, spans, _document(spans), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around, windows, size = [np.zeros(0, AROUND)], [np.zeros(0, WINDOW)], 0
@@ -209,7 +217,7 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
             row = np.repeat(np.arange(len(places)), [len(p) for p in places])
             place = np.concatenate(places)
             at = place["at"] + offsets[row]
-            inside = at + GRAM <= offsets[row + 1]  # always, unless rows of one doc_id differ
+            inside = at + GRAM <= offsets[row + 1]  # always, unless hashes of texts collide
             row, place, at = row[inside], place[inside], at[inside]
             key = np.zeros(len(at), np.uint64)
             grams = gram_hashes(flat)
@@ -221,7 +229,7 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
             for a in range(0, len(cold), 1 << 15):
                 c = cold[a : a + (1 << 15)]
                 out = np.zeros(len(c), AROUND)
-                for name in ("doc", "at", "back", "run"):
+                for name in PLACE.names:
                     out[name] = place[name][c]
                 out["key"] = key[c]
                 column = np.arange(LEFT + LENGTH)
@@ -236,7 +244,7 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
                 start = np.repeat(low[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 one, two = _window_hashes(flat)
                 out = np.zeros(len(start), WINDOW)
-                out["key"], out["more"], out["doc"] = one[start], two[start], np.repeat(place["doc"][warm], n)
+                out["key"], out["more"], out["doc"], out["of"] = one[start], two[start], np.repeat(place["doc"][warm], n), np.repeat(place["of"][warm], n)
                 out["at"] = start - np.repeat(offsets[row[warm]], n)
                 windows.append(out)
             size += len(cold) * AROUND.itemsize + sum(len(w) for w in windows[-1:]) * WINDOW.itemsize
@@ -252,7 +260,7 @@ def surroundings(held: DataFrame, at: int, hot: np.ndarray, buckets: int) -> Dat
 def _later_places(values: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Which of values, in runs of equals that start where `new`, stand at another place than the first of their run."""
     first = np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
-    return (values["doc"] != values["doc"][first]) | (values["at"] != values["at"][first])
+    return np.any([values[c] != values[c][first] for c in ("doc", "of", "at")], axis=0)
 
 
 def _first_windows(single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,21 +286,21 @@ def _first_copies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             sums.append(total)
     by = np.lexsort((sums[1], sums[0]))
     new = _first_of(sums[0][by], sums[1][by])
-    return np.sort(by[new]), by[_later_places(rows[["doc", "at"]][by], new)]
+    return np.sort(by[new]), by[_later_places(rows[["doc", "of", "at"]][by], new)]
 
 
 def _low(rows: np.ndarray) -> np.ndarray:
     return rows["at"].astype(np.int64) - rows["back"]
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(doc), SPAN)
-    out["doc"], out["start"], out["end"] = doc, start, end
+def _spans(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(places), SPAN)
+    out["doc"], out["of"], out["start"], out["end"] = places["doc"], places["of"], start, end
     return out
 
 
 def _whole_spans(rows: np.ndarray) -> np.ndarray:
-    return _spans(rows["doc"], _low(rows), _low(rows) + rows["run"] + LENGTH)
+    return _spans(rows, _low(rows), _low(rows) + rows["run"] + LENGTH)
 
 
 def _ranked(rows: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -327,17 +335,17 @@ def repeats(rows: np.ndarray) -> np.ndarray:
         left_class[left] = np.cumsum(left_common < before)
         both = right_class[mine] * (n + 1) + left_class[mine]
         by = np.argsort(both, kind="stable")
-        later = mine[by[_later_places(rows[["doc", "at"]][mine[by]], _first_of(both[by]))]]
+        later = mine[by[_later_places(rows[["doc", "of", "at"]][mine[by]], _first_of(both[by]))]]
         lowest[later] = np.minimum(lowest[later], before)
         highest[later] = np.maximum(highest[later], before)
     gone = np.flatnonzero(highest >= 0)
     at = rows["at"][gone].astype(np.int64)
-    return _spans(rows["doc"][gone], at - highest[gone], at - lowest[gone] + LENGTH)
+    return _spans(rows[gone], at - highest[gone], at - lowest[gone] + LENGTH)
 
 
 def _meet_surroundings(group: pa.Table, buckets: int) -> pa.Table:
     rows = _read(group, 0, AROUND)
-    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+    rows = rows[np.lexsort((rows["at"], rows["of"], rows["doc"]))]
     out = [_read(group, 1, SPAN)]
     if len(rows):
         known, other = _first_copies(rows)
@@ -348,35 +356,36 @@ def _meet_surroundings(group: pa.Table, buckets: int) -> pa.Table:
     if len(rows):
         out.append(repeats(rows))
     single = _read(group, 2, WINDOW)
-    single = single[np.lexsort((single["at"], single["doc"], single["more"], single["key"]))]
+    single = single[np.lexsort((single["at"], single["of"], single["doc"], single["more"], single["key"]))]
     if len(single):
         _, later = _first_windows(single)
-        out.append(_spans(single["doc"][later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH))
+        out.append(_spans(single[later], single["at"][later], single["at"][later].astype(np.int64) + LENGTH))
     release()
     return _dealt(np.concatenate(out), buckets)
 
 
-def removed_spans(docs: DataFrame, key: str) -> DataFrame:
-    """(key, __spans): blobs of SPAN of every document with a byte to remove; key is a column of docs (long, no null) beside text."""
-    keyed = docs.select(key, F.col("text").cast("string").alias("text"))
+def removed_spans(docs: DataFrame, key: tuple[str, str]) -> DataFrame:
+    """(*key, __spans): blobs of SPAN of every document with a byte to remove; key are columns of docs (long, no null) beside text."""
+    keyed = docs.select(*key, F.col("text").cast("string").alias("text"))
     total = keyed.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parallelism(docs), total // 30 // BUCKET)
     found = settle(repeated_anchors(keyed, buckets))
     listed = found.where("kind = 1").orderBy(F.desc("bucket"), "blob").limit(LISTED).select("blob")
     hot = np.sort(np.frombuffer(b"".join(r.blob for r in listed.toLocalIterator()), np.uint64))
     drop_shuffles(found)  # of the anchors, which are checkpointed
-    places = by_document(found.where("kind = 0"), PLACE).select(F.col("bucket").alias(key), F.array("blob").alias("__places"))
+    places = by_document(found.where("kind = 0"), PLACE).select(F.col("bucket").alias(key[0]), F.col("of").alias(key[1]), F.array("blob").alias("__places"))
     # The join takes all columns of docs, so that the one which applies the spans reuses its exchange of the texts.
-    around = surroundings(docs.join(places, key).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets)
+    around = surroundings(docs.join(places, [*key]).select(*docs.columns, "__places"), docs.columns.index("text"), hot, buckets)
     met = around.groupBy("bucket").applyInArrow(lambda group: _meet_surroundings(group, buckets), SCHEMA)
-    return by_document(met, SPAN).select(F.col("bucket").alias(key), F.array("blob").alias("__spans"))
+    return by_document(met, SPAN).select(F.col("bucket").alias(key[0]), F.col("of").alias(key[1]), F.array("blob").alias("__spans"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """All columns of docs, then kept (bytes), n_bytes, n_removed and n_spans."""
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__key", "__places", "__spans")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    joined = keyed.join(removed_spans(keyed, "__key"), "__key", "left").select(*docs.columns, "__spans")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__doc", "__of", "__places", "__spans")
+    key = ("__doc", "__of")
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__of": F.xxhash64(F.col("text").cast("string"))})
+    joined = keyed.join(removed_spans(keyed, key), [*key], "left").select(*docs.columns, "__spans")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,6 +129,29 @@ def test_suffix_dedup_keeps_repeated_rows(spark, monkeypatch, hot):
         assert {(r.doc_id, r.n_removed) for r in found} == {(4, 0), (6, len(other.encode()))}, parts
 
 
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_suffix_dedup_of_shared_and_absent_ids(spark, monkeypatch, hot):
+    """Rows that share a doc_id, or have none, and differ in text are documents of their own: none loses what stands nowhere else."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    x, y, z = prose(30), prose(40), prose(40)
+    for doc in (7, None):
+        for texts in ([f"{x} {z}", f"{y} {x}"], [x, f"{y} {x}"], [f"{x} {z}", f"{y} {x}", f"{x} {z}", f"{z} {y}"]):
+            rows = spark.createDataFrame([(doc, t) for t in texts], "doc_id long, text string")
+            order = {r.text: r.h for r in rows.selectExpr("text", "xxhash64(text) AS h").collect()}
+            seen, want = set(), {}
+            for t in sorted(set(texts), key=order.get):
+                data = t.encode()
+                gone = bytearray(len(data))
+                for p in range(len(data) - 99):
+                    if data[p : p + 100] in seen:
+                        gone[p : p + 100] = b"\1" * 100
+                    seen.add(data[p : p + 100])
+                want[t] = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+            for parts in (1, 3):
+                found = substrings.dedupe(rows.repartition(parts)).collect()
+                assert sorted((r.text, bytes(r.kept)) for r in found) == sorted((t, want[t]) for t in texts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(symbols):
