@@ -151,11 +151,3 @@ def punchlines(scored: DataFrame, sentence_of: DataFrame, least: int = 4) -> Dat
     enough = lambda c: F.when(F.col("n") >= least, F.col(c))
     return unpivot(grouped, "doc_id", {"surp:punch_ratio_mean": enough("r"), "surp:punch_spike_rate": enough("k")})
 
-
-def highlight_html(text: Column, spans: Column) -> Column:
-    """Text with spans (start, end in characters, ordered and apart) in mark elements and the rest escaped."""
-    escape = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = lambda a, b: escape(F.substr(text, a + 1, b - a))
-    step = lambda s, x: F.struct(x["end"].cast("int").alias("at"), F.concat(s["out"], cut(s["at"], x["start"]), F.lit("<mark>"), cut(x["start"], x["end"]), F.lit("</mark>")).alias("out"))
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], cut(s["at"], F.length(text))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstroke.functions.text import tokens
@@ -36,14 +36,18 @@ def char_grams(docs: DataFrame, n: int) -> DataFrame:
     one = lambda i: F.get("c", i)
     cuts = F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: F.struct(F.concat(*(one(i + k) for k in range(n))).alias("gram"), F.coalesce(one(i - 1), F.lit(" ")).alias("left"), F.coalesce(one(i + n), F.lit(" ")).alias("right")))
     cut = chars.select("doc_id", F.explode(cuts).alias("g")).select("doc_id", "g.*")
+    return cut.select("doc_id", "gram", gram_type().alias("type"))
+
+
+def gram_type() -> Column:
+    """The type of an n-gram (gram) between two characters (left, right; a space at the ends of a text)."""
     punct, space, letter = r"[^\p{L}\p{Nd}\x20]", r"\x20", r"[\p{L}\p{Nd}]"
     has = lambda c, p: F.regexp(F.col(c), F.lit(p))
-    kind = (
+    return (
         F.when(has("gram", f"^{punct}"), "beg_punct").when(has("gram", f"{punct}$"), "end_punct").when(has("gram", punct), "mid_punct")
         .when(has("gram", f"^{space}"), "space_prefix").when(has("gram", f"{space}$"), "space_suffix").when(has("gram", space), "multi_word")
         .when(~has("left", letter) & ~has("right", letter), "whole_word").when(~has("left", letter), "prefix").when(~has("right", letter), "suffix").otherwise("mid_word")
     )
-    return cut.select("doc_id", "gram", kind.alias("type"))
 
 
 def frequent_grams(docs: DataFrame, n: int, k: int = 1000) -> DataFrame:

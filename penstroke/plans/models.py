@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from penstroke.functions import words as W
 from penstroke.functions.text import token_array
-from penstroke.operators import calibrate, critique, distance, features, lexicon, verify, vocabulary
+from penstroke.operators import calibrate, critique, distance, features, lexicon, phrases, verify, vocabulary
 from penstroke.plans.lexical import _MARK, _Z, TOK, _author_vectors, _long, _q, _values, documents, query, rounded
 
 #: A small pack of closed-class words of the corpus' four languages.
@@ -37,7 +37,19 @@ def lexicon_terms(spark, sf):
     return rounded(lexicon.lexicon_rates(documents(spark, sf), CLOSED))
 
 
-@query()
+def _phrase(pattern: str) -> str:
+    """A pattern over tokens with a space behind each, from the first on."""
+    part = lambda words: "".join({"*": "([^ ]+ ){1,4}", "#": "([0-9][0-9,.%kmb]*|[0-9][0-9,.]*[a-z]*) "}.get(w, w + " ") for w in words)
+    return "^" + "".join("(" + "|".join(map(part, choices)) + ")" for choices in phrases.elements(pattern))
+
+
+_HITS = " UNION ALL ".join(f"SELECT doc_id, {_q(p['id'])} AS id, {_q(p['category'])} AS category FROM l WHERE regexp_matches(line, {_q(_phrase(p['pattern']))})" for p in PATTERNS["phrases"])
+
+
+@query(f"""WITH {TOK}, l AS (SELECT doc_id, array_to_string(ws[i:i + 12], ' ') || ' ' AS line FROM (SELECT doc_id, ws, unnest(range(1, n + 1)) AS i FROM sized)),
+h AS (SELECT doc_id, id, category, count(*) AS c FROM ({_HITS}) GROUP BY ALL),
+d AS (SELECT doc_id, 'lex:patterns:' || id AS dim, c FROM h UNION ALL SELECT doc_id, 'lex:patterns:cat:' || category, c FROM h UNION ALL SELECT doc_id, 'lex:patterns:total', c FROM h)
+SELECT doc_id, dim, round(1000.0 * sum(c) / any_value(z.n), 6) AS value FROM d JOIN sized z USING (doc_id) GROUP BY doc_id, dim""")
 def lexicon_phrases(spark, sf):
     return rounded(lexicon.lexicon_rates(documents(spark, sf), PATTERNS))
 
@@ -180,6 +192,7 @@ def vector_distances(spark, sf):
     return found.select("a", "b", F.round("l1", 4).alias("l1"), (F.round("dot", 4) + F.lit(0.0)).alias("dot"))
 
 
+
 @query(_SEARCH)
 def vector_distances_every_50th(spark, sf):
     return vector_distances(spark, sf)
