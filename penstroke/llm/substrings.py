@@ -380,11 +380,21 @@ def removed_spans(docs: DataFrame, key: tuple[str, str]) -> DataFrame:
     return by_document(met, SPAN).select(F.col("bucket").alias(key[0]), F.col("of").alias(key[1]), F.array("blob").alias("__spans"))
 
 
+def _keyed(docs: DataFrame, key: tuple[str, str]) -> DataFrame:
+    """docs with the two columns that tell documents apart: a doc_id that one row has is enough, and compresses well beside places."""
+    doc = F.col("doc_id").cast("long")
+    shared = docs.where(doc.isNotNull()).groupBy(doc.alias(key[0])).agg(F.count("*").alias("__n")).where("__n > 1").select(key[0], F.lit(True).alias("__shared"))
+    keyed = docs.withColumn(key[0], doc)
+    keyed = keyed.join(shared, key[0], "left") if shared.head(1) else keyed.withColumn("__shared", F.lit(False))
+    of = F.when(F.col(key[0]).isNull() | F.col("__shared"), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))
+    return keyed.withColumn(key[1], of).withColumn(key[0], F.coalesce(key[0], F.lit(-(2**63)))).select(*docs.columns, *key)
+
+
 def dedupe(docs: DataFrame) -> DataFrame:
     """All columns of docs, then kept (bytes), n_bytes, n_removed and n_spans."""
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__doc", "__of", "__places", "__spans")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "__doc", "__of", "__shared", "__places", "__spans")
     key = ("__doc", "__of")
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__of": F.xxhash64(F.col("text").cast("string"))})
+    keyed = _keyed(docs, key)
     joined = keyed.join(removed_spans(keyed, key), [*key], "left").select(*docs.columns, "__spans")
     at = docs.columns.index("text")
 
