@@ -61,17 +61,21 @@ def keep(text: Column, share: Column, most: float = 0.5, least: int = 12) -> Col
     return (share <= most) & (whitespace_words(text) >= least)
 
 
-#: Repairs of text that was tokenised and joined again: pattern and replacement, in order.
-REPAIRS = ((r"\x20+([,.;:!?])", "$1"), (r"([(\[])\x20+", "$1"), (r"\x20+([)\]])", "$1"), (r"\x20(n't|'s|'re|'ve|'ll|'d|'m)\b", "$1"), (r"\x20{2,}", " "))
+#: Repairs of text that was cut into tokens and joined again, in order: apostrophes, then spaces before a mark, behind an
+#: opening and before a closing one, and runs of spaces.
+REPAIRS = (
+    (r"([\p{L}\p{N}_])[ \t]+([’'])[ \t]*(s|t|re|ve|ll|d|m)(?![\p{L}\p{N}_])", "$1$2$3"), (r"[ \t]+([,.;:!?%])", "$1"), (r"([“‘(\[])[ \t]+", "$1"), (r"[ \t]+([”’)\]])", "$1"), (r"[ \t]{2,}", " "),
+)
+EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def repair_typography(text: Column) -> tuple[Column, Column]:
-    """The repaired text and the number of substitutions."""
+    """The repaired text, without space at its ends, and the number of substitutions."""
     count = F.lit(0)
     for pattern, to in REPAIRS:
         count = count + F.regexp_count(text, F.lit(pattern))
         text = F.regexp_replace(text, pattern, to)
-    return text, count
+    return F.regexp_replace(text, EDGES, ""), count
 
 
 def normalize_spaces(text: Column) -> Column:
@@ -80,13 +84,41 @@ def normalize_spaces(text: Column) -> Column:
     return F.regexp_replace(F.translate(out, "\u200b\u200c\u200d\ufeff", ""), r"\p{Zs}", " ")
 
 
+#: Fixed value: what a line of markup or of a list begins with.
+MARKUP = r"^[\x20\x09-\x0D]*(?:[#|*>-]|\.\.)"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def prose_ratio(text: Column, least: int = 8) -> Column:
     """Share of lines with something on them that have at least `least` words and begin with no markup."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    prose = F.filter(lines, lambda x: (whitespace_words(x) >= least) & ~F.regexp(F.trim(x), F.lit(r"^([#>|*+-]|[0-9]+\.\x20)")))
+    lines = F.filter(F.split(text, LINE_ENDS), lambda x: F.regexp(x, F.lit(r"[^\x20\x09-\x0D]")))
+    prose = F.filter(lines, lambda x: (whitespace_words(x) >= least) & ~F.regexp(x, F.lit(MARKUP)))
     return F.when(F.size(lines) > 0, F.size(prose) / F.size(lines)).otherwise(0.0)
 
 
+#: What is no prose in documentation, for all formats but one, for that one (`rst`), and blocks indented as code.
+DOC_CODE = (
+    (r"\A---\n[\s\S]*?\n---\n", ""), (r"\A\+\+\+\n[\s\S]*?\n\+\+\+\n", ""), (r"(?m)^([ \t]*)(```|~~~)[\s\S]*?^\1\2[ \t]*$", "\n"),
+    (r"(?i)<(script|style|table|pre|code)\b[\s\S]*?</\1>", "\n"), (r"\{%[\s\S]*?%\}|\{\{[\s\S]*?\}\}", ""), (r"(?m)^\s*\[!\[.*$", ""),
+)
+RST_CODE = ((r"(?m)^\.\. [a-z-]+::[\s\S]*?(?=\n\S|\z)", "\n"), (r"::\n\n((?:[ \t]+\S.*\n|\n)+)", "\n"), (r"(?m)^[=~^\-*+#]{4,}\s*$", ""))
+INDENTED_CODE = (r"(?m)^(?:(?: {4}|\t)\S.*\n|\n)+", "\n")
+
+
+def strip_doc_code(text: Column, rst: Column | bool = False) -> Column:
+    """Documentation without code, front matter, template tags and badges; links and inline code stay."""
+    rst = F.lit(rst) if isinstance(rst, bool) else rst
+    plain = _swept(text, DOC_CODE)
+    out = F.when(rst, _swept(plain, RST_CODE)).otherwise(_swept(plain, (INDENTED_CODE,)))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), EDGES, "")
+
+
+def _swept(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def strip_licence(text: Column) -> tuple[Column, Column]:
     """The text after its last start marker and before the first end marker that follows, and whether there were markers."""
     start, end = r"(?s)^.*\*\*\* ?START OF[^\n]*\n", r"(?s)\*\*\* ?END OF.*$"

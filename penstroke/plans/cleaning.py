@@ -44,9 +44,9 @@ def stripped_code(spark, sf):
     return found.select("doc_id", "code_share", "kept", F.md5("text").alias("digest"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS ls FROM documents)
+@query(r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents)
 SELECT doc_id, round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w != '')) >= 8
-  AND NOT regexp_matches(trim(x), '^([#>|*+-]|[0-9]+\.\x20)')))::DOUBLE / len(ls) ELSE 0 END, 6) AS share FROM l""")
+  AND NOT list_has_any([left(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), 1)], ['#', '|', '-', '*', '>']) AND NOT starts_with(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '..')))::DOUBLE / len(ls) ELSE 0 END, 6) AS share FROM l""")
 def prose_shares(spark, sf):
     return rounded(documents(spark, sf).select("doc_id", clean.prose_ratio(F.col("text")).alias("share")))
 
@@ -56,7 +56,15 @@ def normal_spaces(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(clean.normalize_spaces(F.col("text"))).alias("digest"))
 
 
-@query()
+_TOKENS = r"""regexp_replace(text, '([,.;:!?%”’)\]])', ' \1', 'g')"""
+_REPAIRED = _TOKENS
+for _pattern, _to in ((r"([\p{L}\p{N}_])[ \t]+([’''])[ \t]*(s|t|re|ve|ll|d|m)\b", r"\1\2\3"), (r"[ \t]+([,.;:!?%])", r"\1"), (r"([“‘(\[])[ \t]+", r"\1"), (r"[ \t]+([”’)\]])", r"\1"), (r"[ \t]{2,}", " ")):
+    _REPAIRED = f"regexp_replace({_REPAIRED}, '{_pattern}', '{_to}', 'g')"
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace({_REPAIRED}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS digest, len(regexp_extract_all({_TOKENS}, '[ \t]+[,.;:!?%]')) > 0 AS changed FROM documents""")
 def repaired_typography(spark, sf):
-    text, count = clean.repair_typography(F.col("text"))
-    return documents(spark, sf).select("doc_id", F.md5(text).alias("digest"), count.cast("long").alias("n"))
+    """Texts with a space put before each mark, as a tokeniser leaves them, repaired."""
+    cut = F.regexp_replace("text", r"([,.;:!?%”’)\]])", r" $1")
+    text, _ = clean.repair_typography(cut)
+    return documents(spark, sf).select("doc_id", F.md5(text).alias("digest"), (F.regexp_count(cut, F.lit(r"[ \t]+[,.;:!?%]")) > 0).alias("changed"))

@@ -142,7 +142,11 @@ def test_cleaning(spark):
     assert of(clean.strip_code, "see `x` and/or http://a.b/c now\n```py\ncode\n```\n+added\nin src/main.rs end") == "see `` and/or now\n```\n```\nin end"
     assert of(clean.strip_code, "open\n```\nnever closed") == "open\n```\n```"
     repaired, count = clean.repair_typography(F.col("text"))
-    assert tuple(docs(spark, "It is n't so , is it ?").select(repaired, count).first()) == ("It isn't so, is it?", 3)
+    texts = {
+        "It is n't so , is it ?": ("It is n't so, is it?", 2), " I don 't know; it ' s\t95 %  . ": ("I don't know; it's\t95%.", 4), "“ quoted ” ( round ) [ x ]  and l 'ete": ("“quoted” (round) [x] and l 'ete", 7), "we ’ ve 's": ("we’ve 's", 1), "": ("", 0),
+        "the boys ' dog": ("the boys ' dog", 0),
+    }
+    assert {r.text: tuple(r)[1:] for r in docs(spark, *texts).select("text", repaired, count).collect()} == texts
     body, found = clean.strip_licence(F.col("text"))
     assert tuple(docs(spark, "x\n*** START OF THE BOOK ***\nbody\n*** END OF THE BOOK ***\ny").select(body, found).first()) == ("body", True)
     heads = docs(spark, "CHAPTER I", "XIV.", "Part of it was", "MIX", "# Any", "iv")
