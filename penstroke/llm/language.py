@@ -1,7 +1,9 @@
 """Operator 3, language identification: a document as a mixture of languages.
 
-For each language Spark counts character trigrams over 64 character classes, so a model has at most
-64**3 entries (1 MB) a language; it is fitted in one task and takes that much in the driver and in the broadcast. A word's likelihood under a language is
+Spark counts character trigrams of each language, of letters and marks as they are (in lower case, all else as one gap), over all labelled rows. A
+language's model is its ENTRIES most frequent trigrams, sorted, with their bigrams and single characters for what is
+smoothed; the LANGUAGES values of lang with the most rows are learned (ties by name), so a model has a bound whatever stands in the column. Texts of
+rarer values are predicted as the nearest learned language. A word's likelihood under a language is
 the product of its trigrams' probabilities. Expectation-maximisation estimates the proportions of
 the languages over the words of a document; languages are then dropped, least proportion first, while
 the likelihood lost is below the penalty of one parameter (half the logarithm of the number of words,
@@ -14,41 +16,49 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from penstroke.llm.common import chunks, code_points, per_row, row_numbers, table, texts_of
+from penstroke.llm.common import chunks, code_points, per_row, row_numbers, settle, table, texts_of
 
-BITS = 6
-CLASSES = 1 << BITS
+#: Bits of a code point, and the letters that an unseen one is taken to be among.
+BITS, ALPHABET = 21, 4096
+LANGUAGES, ENTRIES = 256, 1 << 15
 STEPS, STEPS_AFTER = 10, 5
 #: Weight of the shorter n-gram's probability in a smoothed probability.
 PRIOR = 8.0
+#: Entries that a task adds up before it sends them on.
+HELD = 1 << 19
 
 
-def _classes() -> np.ndarray:
-    """0 for what is no letter, 1 to 26 for a to z, then one for each letter of Latin-1, 62 for other letters."""
-    out = np.array([62 if chr(point).isalpha() else 0 for point in range(0x3000)], np.int64)
-    for point in range(0x100):
-        low = chr(point).lower()
-        if chr(point).isalpha() and len(low) == 1:
-            out[point] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) - 0xDF) if 0xDF <= ord(low) <= 0xFF else 62
-    return out
+def _class(point: int) -> int:
+    """0 for what is no letter or mark, else the code point of the lower case."""
+    low = chr(point).lower()
+    return 0 if unicodedata.category(chr(point))[0] not in "LM" else ord(low) if len(low) == 1 else point
+
+
+CLASS_OF = np.array([_class(p) for p in range(0x10000)], np.int64)
+LETTER = np.array([chr(p).isalpha() for p in range(0x10000)])
 
 
-CLASS_OF = _classes()
+def _looked_up(points: np.ndarray, table_: np.ndarray, rest: Callable[[int], int]) -> np.ndarray:
+    out = table_[points & 0xFFFF]
+    far = np.flatnonzero(points >= 0x10000)
+    if len(far):
+        kinds, at = np.unique(points[far], return_inverse=True)
+        out[far] = np.array([rest(p) for p in kinds.tolist()], table_.dtype)[at]
+    return out
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the trigrams that touch a letter: code, row and word number; and whether each row has a letter."""
     points, offsets = code_points(texts)
-    kind = CLASS_OF[np.minimum(points, 0x2FFF)]
-    far = np.flatnonzero(points >= 0x3000)
-    kind[far] = [62 if chr(p).isalpha() else 0 for p in points[far].tolist()]
+    kind = _looked_up(points, CLASS_OF, _class)
     n = len(offsets) - 1
     row = row_numbers(offsets)
     at = np.arange(len(points)) + 2 * row + 1  # a gap on both sides of each text
@@ -60,49 +70,88 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     use = np.flatnonzero(letter[1:-1])
     of = np.zeros(len(padded), np.int64)
     of[at] = row
-    return code[use], of[use + 1], word[use], per_row(kind > 0, offsets) > 0
+    return code[use], of[use + 1], word[use], per_row(_looked_up(points, LETTER, lambda p: chr(p).isalpha()), offsets) > 0
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their counts added up."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.diff(keys, prepend=-2))
+    return keys[first], np.add.reduceat(counts[by], first) if len(first) else counts
 
 
-def count_trigrams(docs: DataFrame, held: int = 16) -> DataFrame:
-    """(lang, code, n) over all rows with text and lang, added up within each task for up to `held` languages at once."""
+def count_trigrams(docs: DataFrame) -> DataFrame:
+    """(lang, code, n) over all rows with text and lang, added up within each task first; code -1 counts the rows."""
 
-    def rows_of(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for name, counts in total.items():
-            seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(seen), pa.string()), "code": seen, "n": counts[seen]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def rows_of() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                code, n = _counted(*map(np.concatenate, zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(code), pa.string()), "code": code, "n": n})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for batch in chunks(batches, 0):
             code, row, _, _ = trigrams(texts_of(batch.column(0)))
             names = batch.column(1).dictionary_encode()
-            of = names.indices.to_numpy()[row]
+            index = names.indices.to_numpy()
+            by = np.argsort(index[row], kind="stable")
+            edges = np.searchsorted(index[row][by], np.arange(len(names.dictionary) + 1))
             for k, name in enumerate(names.dictionary.to_pylist()):
-                if name not in total and len(total) >= held:
-                    yield from rows_of(total)
-                    total = {}
-                total[name] = total.get(name, 0) + np.bincount(code[of == k], minlength=CLASSES**3)
-        yield from rows_of(total)
+                mine = np.append(code[by[edges[k] : edges[k + 1]]], np.full(int((index == k).sum()), -1))
+                part = _counted(mine, np.ones(len(mine), np.int64))
+                held.setdefault(name, []).append(part)
+                size += len(part[0])
+            if size > HELD:
+                held = {name: [_counted(*map(np.concatenate, zip(*parts, strict=True)))] for name, parts in held.items()}
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > HELD // 2:
+                    yield from rows_of()
+                    held, size = {}, 0
+        yield from rows_of()
 
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+class Grams:
+    """Counts of one language's trigrams, of the bigrams and characters in them, and of what each stands behind."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
+        low = (1 << 2 * BITS) - 1
+        self.three = _counted(code, n)
+        self.before_three = _counted(code >> BITS, n)
+        self.two = _counted(code & low, n)
+        self.before_two = _counted((code & low) >> BITS, n)
+        self.one = _counted(code & ((1 << BITS) - 1), n)
+        self.total = float(n.sum())
+
+    def log_probabilities(self, code: np.ndarray) -> np.ndarray:
+        """Of the third character given the two before it."""
+        low = (1 << 2 * BITS) - 1
+        p = (_count(self.one, code & ((1 << BITS) - 1)) + PRIOR / ALPHABET) / (self.total + PRIOR)
+        p = (_count(self.two, code & low) + PRIOR * p) / (_count(self.before_two, (code & low) >> BITS) + PRIOR)
+        return np.log((_count(self.three, code) + PRIOR * p) / (_count(self.before_three, code >> BITS) + PRIOR)).astype(np.float32)
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names, and log probabilities of the third character given two before it (trigram by language)."""
+def _count(listed: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(listed[0], keys), len(listed[0]) - 1)
+    return np.where(listed[0][at] == keys, listed[1][at], 0)
 
-    def smooth(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        c3 = np.zeros((CLASSES,) * 3)
-        c3.reshape(-1)[group.column("code").to_numpy()] = group.column("n").to_numpy()
-        p = np.full(CLASSES, 1 / CLASSES)
-        for c in (c3.sum(axis=(0, 1)), c3.sum(axis=0), c3):
-            p = (c + PRIOR * p) / (c.sum(axis=-1, keepdims=True) + PRIOR)
-        return pa.table({"lang": [key[0].as_py()], "model": pa.array([np.log(p).astype(np.float32).tobytes()], pa.binary())})
 
-    fitted = count_trigrams(docs).groupBy("lang").applyInArrow(smooth, "lang string, model binary")
-    models = {r.lang: np.frombuffer(r.model, np.float32) for r in fitted.toLocalIterator()}
-    names = sorted(models)
-    return names, np.stack([models[n] for n in names], axis=1) if names else np.zeros((CLASSES**3, 0), np.float32)
+def fit(docs: DataFrame, languages: int = LANGUAGES, entries: int = ENTRIES) -> tuple[list[str], list[Grams]]:
+    """Names of the learned languages, ascending, and their models."""
+    counted = settle(count_trigrams(docs))
+    learned = counted.where("code = -1").orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    kept = counted.where("code >= 0").join(F.broadcast(learned), "lang", "left_semi").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= entries)
+    found = kept.orderBy("lang").select("lang", "code", "n").toArrow()  # at most languages * entries rows
+    lang, code, n = (found.column(c).combine_chunks() for c in ("lang", "code", "n"))
+    names = lang.dictionary_encode()
+    index, code, n = names.indices.to_numpy(), code.to_numpy(), n.to_numpy()
+    return names.dictionary.to_pylist(), [Grams(code[index == k], n[index == k]) for k in range(len(names.dictionary))]
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -157,13 +206,13 @@ def mixtures(logp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
+def predict(docs: DataFrame, names: list[str], model: list[Grams]) -> DataFrame:
     """All columns of docs, then lang_pred, score and n_languages (which replace columns of the same name)."""
     docs = docs.drop("lang_pred", "score", "n_languages")
     shared, at_ = docs.sparkSession.sparkContext.broadcast((np.array([*names, "und"], dtype=object), model)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, table_ = shared.value
+        labels, models = shared.value
         # A chunk's table of likelihoods has a column for each language.
         for batch in chunks(batches, at_, (1 << 23) // max(8, len(labels))):
             n = batch.num_rows
@@ -171,7 +220,9 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
             code, row, word, lettered = trigrams(texts_of(batch.column(at_)))
             if len(code) and len(labels) > 1:
                 first = np.flatnonzero(np.diff(word, prepend=-1))
-                by_word = _sums(table_[code], first)
+                kinds, at_kind = np.unique(code, return_inverse=True)
+                likely = np.stack([m.log_probabilities(kinds) for m in models], axis=1)
+                by_word = _sums(likely[at_kind], first)
                 docs_ = row[first]
                 starts = np.flatnonzero(np.diff(docs_, prepend=-1))
                 pi = mixtures(by_word, starts)
