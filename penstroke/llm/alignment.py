@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +36,9 @@ from penstroke.llm.common import byte_view, chunks, shared_folder, table, texts_
 #: Pairs that a broadcast holds, 17 bytes each.
 HEAD = 1 << 20
 #: Distinct pairs that a task adds up before it sends them on.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
+#: Bytes of text that a task works on at once (it takes about a hundred times that), and characters that B encodes at once.
+CHUNK, PART = 1 << 18, 1 << 16
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 RESULTS = (*MEASURES, "n_best", "count_sum", "groups_sha256")
 TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
@@ -99,6 +102,32 @@ def encoder_b(path: str) -> tuple[Any, Spelling]:
     return model, Spelling(spelled)
 
 
+@cache
+def can_part(path: str) -> bool:
+    """Whether no piece holds a space behind another character: then no token of B spans the begin of a run of spaces."""
+    model = encoder_b(path)[0]
+    return not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+
+
+_BEHIND = re.compile(r"[^ ▁] ")
+
+
+def parts_of(text: str, size: int) -> list[str]:
+    """The text in parts of about `size` characters that B encodes to the same tokens: each begins behind the first of a run of spaces, which B adds again."""
+    out, at = [], 0
+    while len(text) - at > size and (found := _BEHIND.search(text, at + size)):
+        out.append(text[at : found.end() - 1])
+        at = found.end()
+    return [*out, text[at:]]
+
+
+def encode_b(strings: list[str], path: str, size: int = PART) -> list[list[int]]:
+    model = encoder_b(path)[0]
+    parts = [parts_of(s, size) if len(s) > size and can_part(path) else [s] if s else [] for s in strings]
+    found = iter(model.encode([p for x in parts for p in x], num_threads=1))
+    return [[i for _ in x for i in next(found)] for x in parts]
+
+
 @cache
 def written(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each id below n in decimal behind it a comma, then with a bar, then with a semicolon, filled up to one width; and which bytes count."""
@@ -146,11 +175,11 @@ def owners(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def encode(texts: pa.Array, paths: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A ids, edges of rows in them, and the same of B; rows that tokens don't spell have none."""
-    (a_model, a_spelling), (b_model, b_spelling) = encoder_a(paths[0]), encoder_b(paths[1])
+    (a_model, a_spelling), (_, b_spelling) = encoder_a(paths[0]), encoder_b(paths[1])
     strings = texts.to_pylist()
     found = []
     for ids, spelling in (
-        ([a_model.encode_ordinary(f" {s}") if s else [] for s in strings], a_spelling), ([x if s else [] for s, x in zip(strings, b_model.encode(strings, num_threads=1), strict=True)], b_spelling),
+        ([a_model.encode_ordinary(f" {s}") if s else [] for s in strings], a_spelling), (encode_b(strings, paths[1]), b_spelling),
     ):
         flat, edges = _rows(ids)
         found.append((flat, edges, spelled_rows(texts, flat, edges, spelling)))
@@ -216,7 +245,7 @@ def measured(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, __pairs binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, at):
+        for batch in chunks(batches, at, CHUNK):
             found = aligned(texts_of(batch.column(at)), local_paths(paths))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found.values()], names=[*kept, *found])
 
@@ -235,12 +264,12 @@ def count_pairs(rows: DataFrame, n_b: int, kind: np.dtype) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, size = [], [], 0
-        for batch in batches:
+        for batch in chunks(batches, 0):
             found, _ = pairs_in(batch.column(0), kind)
             held.append(found.astype(np.int64))
             counts.append(np.ones(len(found), np.int64))
             size += len(found)
-            if size > 4 * COUNTED:
+            if size > 2 * COUNTED:
                 pairs, times = _summed(np.concatenate(held), np.concatenate(counts))
                 held, counts, size = [pairs], [times], len(pairs)
                 if size > COUNTED:
@@ -265,8 +294,8 @@ def scored(rows: DataFrame, counts: DataFrame, kind: np.dtype, head: int = HEAD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, count, best = shared.value
-        for batch in batches:
-            mine, edges = pairs_in(batch.column(batch.num_columns - 1), kind)
+        for batch in chunks(batches, len(kept)):
+            mine, edges = pairs_in(batch.column(len(kept)), kind)
             at = np.searchsorted(pair, mine)
             known = np.append(pair, -1)[at] == mine
             by_row = lambda values: np.diff(np.concatenate(([0], np.cumsum(np.where(known, np.append(values, 0)[at], 0))))[edges])

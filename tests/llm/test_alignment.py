@@ -91,6 +91,15 @@ def test_empty_table(spark):
     assert [tuple(r) for r in alignment.align(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 0, 0, 0, "", 0, 0)]
 
 
+def test_long_texts_in_parts(libraries):
+    text = " ".join(["", *TEXTS[3:13], "  x", "a  ", *TEXTS[13:], "z  "] * 3).replace("▁", "_")
+    whole = libraries[2].encode(text)
+    for size in (1, 5, 40):
+        assert len(alignment.parts_of(text, size)) > 3 and alignment.encode_b([text], B, size) == [whole]
+    marked = "a▁ b ▁c▁▁ d" * 9
+    assert alignment.encode_b([marked], B, 2) == [libraries[2].encode(marked)]
+
+
 def test_overlaps_and_cuts():
     import numpy as np
 
