@@ -18,7 +18,7 @@ tables give no rows; further columns are ignored (or kept by `clean`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstroke.llm.common import chunks, code_points, row_numbers, table, texts_of
+from penstroke.llm.common import chunks, code_points, mix, row_numbers, table, texts_of
 
 Q, SEGMENT, WHOLE_WORDS, ERRORS = 8, 128, 32, 0.08
 BLOCK = 2_000_000
+#: Places of q-grams in bands that are counted at once, and the most positions of a run of one q-gram that are counted together.
+COUNTED, RUN = 2_000_000, 512
 
 
 def _lower() -> np.ndarray:
@@ -92,7 +94,9 @@ def segment_index(items: list[tuple[int, str]]) -> list[dict]:
         segment = np.repeat(np.arange(len(segments)), n_grams)
         place = np.arange(len(every)) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
         by = np.argsort(every, kind="stable")
-        keys, first, count = np.unique(every[by], return_index=True, return_counts=True)
+        # Consecutive places of one q-gram in a segment are one entry.
+        begins, length = _runs(every[by], segment[by], place[by])
+        keys, first, count = np.unique(every[by][begins], return_index=True, return_counts=True)
         bits = max(16, int(len(keys) * 32).bit_length())
         sieve = np.zeros(1 << bits, bool)
         sieve[_slot(keys, bits)] = True
@@ -101,16 +105,45 @@ def segment_index(items: list[tuple[int, str]]) -> list[dict]:
             chars[row, : len(s)] = s
         out.append({
             "item": np.array([i for i, _, _ in segments]), "size": sizes, "edits": edits, "needed": needed, "chars": chars,
-            "keys": keys, "first": first, "count": count, "segment": segment[by], "place": place[by], "bits": bits, "sieve": sieve,
+            "keys": keys, "first": first, "count": count, "segment": segment[by][begins], "place": place[by][begins], "length": length, "bits": bits, "sieve": sieve,
         })
     return out
 
 
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of rows whose last column rises by one while the others stay."""
+    *same, counted = columns
+    new = np.ones(len(counted), bool)
+    new[1:] = (np.diff(counted) != 1) | np.any([c[1:] != c[:-1] for c in same], axis=0)
+    begins = np.flatnonzero(new)
+    return begins, np.diff(np.append(begins, len(counted)))
+
+
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def hashed_windows(chars: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from begins and ends (cut to the text) to 64-bit hashes of the characters between."""
+    powers = [np.full(len(chars) + 1, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    with np.errstate(over="ignore"):
+        for x in powers:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(chars) * powers[0][:-1])))
+
+    def of(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        begin, end = np.clip(begin, 0, len(chars)), np.clip(end, 0, len(chars))
+        with np.errstate(over="ignore"):
+            return mix((sums[end] - sums[begin]) * powers[1][begin]) + (end - begin).astype(np.uint64)
+
+    return of
+
+
 def _aligned(chars: np.ndarray, begin: np.ndarray, width: int, patterns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Least edits of each pattern in the text from begin on, within `width` diagonals; text ends are free."""
     chars = np.concatenate((np.zeros(width, chars.dtype), chars, np.zeros(patterns.shape[1] + 2 * width, chars.dtype)))
@@ -136,11 +169,94 @@ def _stands_alone(chars: np.ndarray, pattern: np.ndarray, starts: range) -> bool
     )
 
 
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n[k] rows of each k: k, and 0 to n[k] - 1."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _bands(hit: np.ndarray, at: np.ndarray, part: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Segments and first diagonals of the bands that hold enough of a segment's q-grams, in order of place within each yield.
+
+    A run of one q-gram in the text meets a run of it in a segment on a stretch of diagonals; each band there gets an interval of
+    the segment's places, and what counts is how many places the band's intervals cover. Runs are taken in pieces, and pieces
+    in groups of bounded size; intervals of a band that goes on behind a group are carried on to the next."""
+    step = int(part["edits"].max()) + 1
+    begins, length = _runs(at, hit)
+    piece, place = _spread(-(-length // RUN))
+    position, key = hit[begins][piece] + place * RUN, at[begins][piece]
+    length = np.minimum(length[piece] - place * RUN, RUN)
+    # Bands of a piece: its diagonals over all entries of its q-gram, at most.
+    size = part["count"][key] * ((length + SEGMENT) // step + 3)
+    group = np.cumsum(size) // COUNTED
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(position)]
+    carried = np.zeros((4, 0), np.int64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own, entry = _spread(part["count"][key[a:b]])
+        entry += part["first"][key[a:b]][own]
+        p, n = position[a:b][own], length[a:b][own]
+        segment, q, m = part["segment"][entry].astype(np.int64), part["place"][entry], part["length"][entry]
+        # Diagonals are counted from 2 * SEGMENT on, so that they and their bands are over 0.
+        low, high = (p - (q + m - 1) + 2 * SEGMENT) // step - 1, (p + n - 1 - q + 2 * SEGMENT) // step
+        own, band = _spread(high - low + 1)
+        band += low[own]
+        first = band * step - 2 * SEGMENT
+        from_ = np.maximum(q[own], p[own] - (first + 2 * step - 1))
+        to = np.minimum((q + m - 1)[own], (p + n - 1)[own] - first)
+        met = np.concatenate((carried, np.stack([segment[own], band, from_, to])[:, to >= from_]), axis=1)
+        # Bands of a segment that end before the next piece begins are whole.
+        following = position[b] if b < len(position) else 1 << 62
+        whole = met[1] * step - 2 * SEGMENT + 2 * step + part["size"][met[0]] < following
+        carried, met = met[:, ~whole], met[:, whole]
+        if not met.shape[1]:
+            continue
+        met = met[:, np.lexsort((met[2], met[0], met[1]))]
+        new = np.ones(met.shape[1], bool)
+        new[1:] = np.any(met[:2, 1:] != met[:2, :-1], axis=0)
+        rank = np.cumsum(new) * (2 * SEGMENT)
+        reach = np.maximum.accumulate(met[3] + rank)
+        before = np.concatenate(([-1], reach[:-1])) - rank
+        fresh = np.maximum(0, met[3] - np.maximum(before, met[2] - 1))
+        heads = np.flatnonzero(new)
+        enough = np.add.reduceat(fresh, heads) >= part["needed"][met[0][heads]]
+        if enough.any():
+            segment, band = met[0][heads][enough], met[1][heads][enough]
+            yield segment, band * step - 2 * SEGMENT - step
+
+
+def _verify(
+    chars: np.ndarray, starts: np.ndarray, windows: Callable[[np.ndarray, np.ndarray], np.ndarray], segment: np.ndarray, begin: np.ndarray, part: dict, best: dict[tuple[int, int], tuple[int, int]]
+) -> None:
+    """Align segments in their bands; best gets the least edits of each row and segment, and the first place that has them."""
+    step = int(part["edits"].max()) + 1
+    middle = np.maximum(begin + 2 * step, 0) + part["size"][segment] // 2
+    row = np.searchsorted(starts, middle, "right") - 1
+    # What stands around a band decides its alignment: of equal surroundings in a row, the first is enough.
+    around = windows(begin - 1, begin + part["chars"].shape[1] + 4 * step + 1)
+    _, first = np.unique(mix(around ^ mix(row.astype(np.uint64) << np.uint64(32) | segment.astype(np.uint64))), return_index=True)
+    first.sort()
+    segment, begin, row = segment[first], begin[first], row[first]
+    for a in range(0, len(segment), 4096):
+        s, b, r = segment[a : a + 4096], begin[a : a + 4096], row[a : a + 4096]
+        # Bands come in order, so none after one without edits is better.
+        open_ = np.array([best.get(x, (1, 0))[0] > 0 for x in zip(r.tolist(), s.tolist(), strict=True)], bool)
+        s, b, r = s[open_], b[open_], r[open_]
+        if not len(s):
+            continue
+        edits = _aligned(chars, b, 4 * step, part["chars"][s], part["size"][s])
+        ok = edits <= part["edits"][s]
+        for k in np.flatnonzero(ok & (part["size"][s] < WHOLE_WORDS)).tolist():
+            ok[k] = _stands_alone(chars, part["chars"][s[k], : part["size"][s[k]]], range(max(0, int(b[k])), int(b[k]) + 4 * step))
+        for x, g, e, p in zip(r[ok].tolist(), s[ok].tolist(), edits[ok].tolist(), b[ok].tolist(), strict=True):
+            p = max(0, p + 2 * step - int(starts[x]))
+            best[x, g] = min(best.get((x, g), (1 << 20, 0)), (e, p))
+
+
 def find(texts: pa.Array, index: list[dict]) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end) of each verified segment's best band, positions in characters of the row
     (within the band's width)."""
     chars, starts = folded(texts)
-    gram = grams(as_bytes(chars))
+    gram, windows = grams(as_bytes(chars)), hashed_windows(chars)
     out = []
     for part in index:
         hit = np.flatnonzero(part["sieve"][_slot(gram, part["bits"])])
@@ -158,32 +274,9 @@ def find(texts: pa.Array, index: list[dict]) -> list[tuple[int, int, int, int, i
         hit, at = hit[live], at[live]
         if not len(hit):
             continue
-        n = part["count"][at]
-        entry = np.repeat(part["first"][at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        segment, place, position = part["segment"][entry], part["place"][entry], np.repeat(hit, n)
-        step = int(part["edits"].max()) + 1
-        diagonal = position - place + 2 * SEGMENT  # over 0, and so is its band
-        bands = int(diagonal.max()) // step + 1
-        key = np.concatenate([segment.astype(np.int64) * bands + diagonal // step - back for back in (0, 1)])
-        where = np.concatenate([place, place])
-        pairs = np.unique(key << 8 | where)  # a q-gram of a segment counts once in a band
-        key, count = np.unique(pairs >> 8, return_counts=True)
-        segment, band = np.divmod(key, bands)
-        enough = count >= part["needed"][segment]
-        segment, band = segment[enough], band[enough]
-        begin = band * step - 2 * SEGMENT - step
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for a in range(0, len(segment), 4096):
-            s, b = segment[a : a + 4096], begin[a : a + 4096]
-            edits = _aligned(chars, b, 4 * step, part["chars"][s], part["size"][s])
-            ok = edits <= part["edits"][s]
-            for k in np.flatnonzero(ok & (part["size"][s] < WHOLE_WORDS)).tolist():
-                ok[k] = _stands_alone(chars, part["chars"][s[k], : part["size"][s[k]]], range(max(0, int(b[k])), int(b[k]) + 4 * step))
-            middle = np.maximum(b[ok] + 2 * step, 0) + part["size"][s[ok]] // 2
-            row = np.searchsorted(starts, middle, "right") - 1
-            for r, g, e, p in zip(row.tolist(), s[ok].tolist(), edits[ok].tolist(), b[ok].tolist(), strict=True):
-                p = max(0, p + 2 * step - int(starts[r]))
-                best[r, g] = min(best.get((r, g), (1 << 20, 0)), (e, p))
+        for segment, begin in _bands(hit, at, part):
+            _verify(chars, starts, windows, segment, begin, part, best)
         out += [(r, int(part["item"][g]), e, p, p + int(part["size"][g])) for (r, g), (e, p) in best.items()]
     return out
 

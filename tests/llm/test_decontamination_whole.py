@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from penstroke.llm import decontaminate
 
 
@@ -59,3 +61,34 @@ def test_all_matches(spark):
     found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     expected = by_hand(docs, bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and len(expected) > 20
+
+
+def test_frequent_q_grams_take_bounded_memory():
+    """A long text of one character against many ruled items: counted by runs, in groups."""
+    import resource
+    import time
+
+    items = [(k, f"Question {k}: " + "-" * 100 + f" answer {k}") for k in range(300)] + [(1000, "-" * 128)]
+    index = decontaminate.segment_index(items)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    began = time.time()
+    found = decontaminate.find(pa.array(["-" * 200_000, "x " * 200 + items[7][1] + " y" * 200], pa.large_string()), index)
+    assert {(r, i) for r, i, *_ in found} == {(0, 1000), (1, 7)} | {(1, i) for r, i, *_ in found if r == 1}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000 and time.time() - began < 100
+
+
+@pytest.mark.parametrize(("counted", "run"), [(1, 1), (50, 3), (400, 512)])
+def test_groups_and_pieces_change_nothing(monkeypatch, counted, run):
+    rng = random.Random(6)
+    items = [(k, "".join(rng.choice("ab- ") * rng.randrange(1, 9) for _ in range(rng.randrange(5, 60)))) for k in range(12)]
+    texts = []
+    for k in range(12):
+        text = list(rng.choice(items)[1])
+        for _ in range(k // 3):
+            text[rng.randrange(len(text))] = rng.choice("ab-")
+        texts.append("-" * rng.randrange(40) + "".join(text) + "ab" * rng.randrange(20))
+    index = decontaminate.segment_index(items)
+    want = sorted(decontaminate.find(pa.array(texts, pa.large_string()), index))
+    monkeypatch.setattr(decontaminate, "COUNTED", counted)
+    monkeypatch.setattr(decontaminate, "RUN", run)
+    assert sorted(decontaminate.find(pa.array(texts, pa.large_string()), index)) == want and want
