@@ -29,13 +29,21 @@ def fit(units: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame, int]:
     return j.where(F.col("j") >= least), m, j.select("unit").distinct().count() + 1
 
 
-def score(units: DataFrame, model: tuple[DataFrame, DataFrame, int], k: float = 0.5) -> DataFrame:
-    """units with bits: -log2((j + k) / (m + k V)). Units are counted by document before the join, so that it moves types, not tokens."""
+#: Most frequent types, whose bits a broadcast holds.
+HEAD = 1 << 16
+
+
+def score(units: DataFrame, model: tuple[DataFrame, DataFrame, int], k: float = 0.5, head: int = HEAD) -> DataFrame:
+    """units with bits: -log2((j + k) / (m + k V)). Types are counted first and looked up in the model; the bits of the `head` most frequent ones, which most units
+    belong to, are broadcast, so that only units of rare types are shuffled by type, and no key of that join is hot."""
     j, m, v = model
-    types = units.groupBy("context", "unit").agg(F.count("*").alias("n")).drop("n")
-    scored = types.join(j, ["context", "unit"], "left").join(m, "context", "left")
+    keys = ["context", "unit"]
+    types = units.groupBy(*keys).agg(F.count("*").alias("n")).join(j, keys, "left").join(m, "context", "left")
     bits = -F.log2((F.coalesce("j", F.lit(0)) + k) / (F.coalesce("m", F.lit(0)) + k * v))
-    return units.join(scored.select("context", "unit", bits.alias("bits")), ["context", "unit"])
+    scored = types.select(*keys, "n", bits.alias("bits"))
+    frequent = F.broadcast(scored.orderBy(F.desc("n"), *keys).limit(head).select(*keys, "bits"))  # head rows
+    rare = units.join(frequent.drop("bits"), keys, "left_anti").join(scored.select(*keys, "bits"), keys)
+    return units.join(frequent, keys).unionByName(rare)
 
 
 def series(scored: DataFrame, low: float, prefix: str = "surp:char") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstroke.functions import clean
-from penstroke.operators import calibrate, contrast, critique, distance, features, lexicon, verify, vocabulary
+from penstroke.operators import calibrate, contrast, critique, distance, features, lexicon, surprisal, verify, vocabulary
 from penstroke.sources import records
 from penstroke.streaming import events
 from penstroke.text import analyzer
@@ -198,3 +198,16 @@ def test_vocabulary_ties_and_culling(spark):
     rows = docs(spark, "b a c", "a b", "a d")
     assert [r.term for r in vocabulary.frequent_words(rows, 3).orderBy("rank").collect()] == ["a", "b", "c"]
     assert [r.term for r in vocabulary.frequent_words(rows, 9, 0.6).orderBy("rank").collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("head", [0, 3, 1 << 16])
+def test_bits_do_not_depend_on_what_is_broadcast(spark, head):
+    held = docs(spark, "the cat sat on the mat and the cat sat", "a dog sat on the cat", "", None)
+    units = surprisal.word_units(held)
+    model = surprisal.fit(units)
+    counts, contexts = {(r.context, r.unit): r.j for r in model[0].collect()}, {r.context: r.m for r in model[1].collect()}
+    other = surprisal.word_units(docs(spark, "the cat ran on the mat"))
+    for asked in (units, other):
+        want = sorted((r.doc_id, r.i, -math.log2((counts.get((r.context, r.unit), 0) + 0.5) / (contexts.get(r.context, 0) + 0.5 * model[2]))) for r in asked.collect())
+        got = sorted((r.doc_id, r.i, r.bits) for r in surprisal.score(asked, model, head=head).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(math.isclose(g[2], w[2]) for g, w in zip(got, want, strict=True))
