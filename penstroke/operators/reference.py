@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from penstroke.functions import words as W
 from penstroke.functions.text import lengths
-from penstroke.operators import distance, features, vocabulary
+from penstroke.operators import devices, distance, features, vocabulary
 
 #: Versions of how text is read; a reference of another version would be silently reinterpreted, so it is refused.
 METHODS = {"tokens": 1, "gram_types": 1, "marks": 1}
@@ -31,6 +31,8 @@ class Family:
     unit: str
     fit: Callable[[DataFrame, int], DataFrame]
     measure: Callable[[DataFrame, DataFrame], DataFrame]
+    #: Raised when what is measured under a name changes.
+    version: int = 1
 
 
 def _words(docs: DataFrame, dims: DataFrame) -> DataFrame:
@@ -58,6 +60,34 @@ FAMILIES = {
 }
 
 
+def measured(unit: str, measures: Callable[[DataFrame], DataFrame], version: int = 1) -> Family:
+    """A family whose dimensions are those that a corpus has a value for, in order of name."""
+
+    def fit_(docs: DataFrame, k: int) -> DataFrame:
+        dims = measures(docs).where("value IS NOT NULL").select("dim").distinct().orderBy("dim").limit(k)
+        return dims.withColumn("idx", F.row_number().over(Window.orderBy("dim")).cast("long") - 1)  # k rows
+
+    return Family(unit, fit_, lambda docs, dims: measures(docs).join(F.broadcast(dims.select("dim")), "dim", "left_semi").select("doc_id", "dim", "value"), version)  # dims: a reference's
+
+
+def register(name: str, family: Family) -> None:
+    """Add a family of one's own; a name is given once."""
+    if name in FAMILIES:
+        raise ValueError(f"there is a family {name}")
+    FAMILIES[name] = family
+
+
+for _name, _family in {
+    "style": measured("fraction", features.style_ratios), "slips": measured("per_1k", features.informality), "kinds": measured("per_1k", features.kinds), "letters": measured("frequency", features.letters),
+    "word_lengths": measured("index", features.word_lengths), "sentence_lengths": measured("tokens", features.sentence_dispersion), "sentences": measured("index", features.sentence_counts), "openers": measured("per_100_sentences", features.openers),
+    "markers": measured("per_1k", features.markers), "markdown": measured("per_1k", features.markdown), "punch": measured("per_100_sentences", features.punch_rate), "richness": measured("index", features.richness),
+    "moving_types": measured("fraction", features.mattr), "readability": measured("index", features.readability), "register": measured("per_1k", features.register), "alliteration": measured("index", features.alliteration),
+    "escalation": measured("index", features.escalation), "participles": measured("per_1k", features.participial), "texture": measured("per_1k", devices.texture), "clauses": measured("per_100_sentences", devices.clause_shape),
+    "headlines": measured("per_100_sentences", devices.marketing), "passives": measured("per_100_sentences", devices.passives), "frames": measured("per_1k", devices.frames), "links": measured("per_1k", devices.links), "asides": measured("index", devices.asides),
+}.items():
+    register(_name, _family)
+
+
 @dataclass(frozen=True)
 class Reference:
     name: str
@@ -100,24 +130,32 @@ def fit(docs: DataFrame, name: str, sizes: dict[str, int], metric: str = "burrow
     for i in items:
         i |= {c: v for c, v in stats.get(i["dim"], missing).items() if c != "dim"}
         i["scale"] = max(i["sd"] or 0.0, W.NOISE_FLOORS[i["unit"]])
-    out = Reference(name, version, metric, items)
+    out = Reference(name, version, metric, items, methods_of(sizes))
     validate(out)
     return out
 
 
+def methods_of(families: Iterable[str]) -> dict[str, int]:
+    """Versions of how text is read and of what the families measure."""
+    return METHODS | {f"family {name}": FAMILIES[name].version for name in families}
+
+
 def validate(reference: Reference) -> None:
     """Raise ValueError where a reference can't be used as it was fitted."""
     if reference.metric not in distance.METRICS:
         raise ValueError(f"unknown metric: {reference.metric}")
-    if reference.methods != METHODS:
-        raise ValueError(f"fitted by other methods: {reference.methods}; this library has {METHODS}; fit it again")
     if not reference.dims:
         raise ValueError("no dimension")
+    families = {d["family"] for d in reference.dims}
+    if unknown := families - FAMILIES.keys():
+        raise ValueError(f"unknown families: {sorted(unknown)}")
+    # A family that found no dimension has a version all the same.
+    known = methods_of(families | {m.removeprefix("family ") for m in reference.methods if m.removeprefix("family ") in FAMILIES})
+    if reference.methods != known:
+        raise ValueError(f"fitted by other methods: {reference.methods}; this library has {known}; fit it again")
     if [d["idx"] for d in reference.dims] != list(range(len(reference.dims))) or len({d["dim"] for d in reference.dims}) < len(reference.dims):
         raise ValueError("dimensions are not numbered in order, or one is there twice")
     for d in reference.dims:
-        if d["family"] not in FAMILIES:
-            raise ValueError(f"unknown family: {d['family']}")
         if not d["scale"] > 0 or d["n"] and not all(math.isfinite(d[c]) for c in STATISTICS):
             raise ValueError(f"statistics of {d['dim']} are no numbers")
 

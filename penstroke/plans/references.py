@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from penstroke.functions import words as W
 from penstroke.functions.text import lengths
 from penstroke.operators import agreement, contrast, critique, distance, reference, surprisal, vocabulary
-from penstroke.plans.lexical import _GRAM, _ODDS, _SURP, _Z, TOK, _author_vectors, _count, _long, _q, _sides, documents, query, rounded
+from penstroke.plans.lexical import ORACLES, _GRAM, _ODDS, _SURP, _Z, TOK, _author_vectors, _count, _long, _q, _sides, documents, query, rounded
 
 SIZES = {"word": 50, "punct": 32, "gram": 40}
 
@@ -152,3 +152,19 @@ def reviews(spark, sf):
     profiles = reference.profile(docs, fitted)
     means = profiles.join(docs.select("doc_id", "author"), "doc_id").groupBy("fingerprint", F.col("author").alias("doc_id"), "dim").agg(F.avg("z").alias("z"))
     return rounded(reference.review(fitted, profiles.where("doc_id % 50 = 0"), means))
+
+
+#: Families of measures, and the queries whose SQL gives their values.
+_MANY = {
+    "style": "style_ratios", "slips": "informality", "kinds": "token_kinds", "letters": "letter_frequencies", "word_lengths": "word_lengths", "sentence_lengths": "sentence_dispersion", "sentences": "sentence_counts",
+    "openers": "sentence_openers", "markdown": "markdown_rates", "punch": "punch_rate", "richness": "richness", "moving_types": "moving_type_ratio", "readability": "readability", "register": "register_rates",
+}
+_EVERY = " UNION ALL ".join(f"SELECT {_q(family)} AS family, dim, value FROM ({ORACLES[name]})" for family, name in _MANY.items())
+
+
+@query(f"""SELECT family, dim, count(*)::BIGINT AS n, round(avg(value), 5) + 0.0 AS mean, round(coalesce(stddev_samp(value), 0), 5) + 0.0 AS sd, round(quantile_cont(value, 0.5), 5) + 0.0 AS p50 FROM ({_EVERY}) WHERE value IS NOT NULL GROUP BY family, dim""")
+def fit_families(spark, sf):
+    """A reference over fourteen more families: their dimensions and statistics."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    fitted = reference.fit(docs, "families", dict.fromkeys(_MANY, 1000))
+    return fitted.table(spark).select("family", "dim", "n", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("mean", "sd", "p50")))

@@ -79,3 +79,27 @@ def test_review_takes_the_median_target(docs, fitted):
     found = reference.review(fitted, profiles.where("doc_id = 0"), profiles.where("doc_id IN (0, 1, 2)")).collect()
     order = [r.b for r in sorted(reference.compare(fitted, profiles.where("doc_id = 0"), profiles.where("doc_id IN (0, 1, 2)")).collect(), key=lambda r: r["rank"])]
     assert [(r.doc_id, r.target) for r in found] == [(0, order[1])] and order[0] == 0 and found[0].canary_gap > 0
+
+
+def test_every_family_can_be_fitted_saved_and_profiled(spark, tmp_path):
+    long_ = "However, the old man — who was (as they say) wise — didn't go. He sat down. They were beaten by 3 DOGS! Was it so? It was as cold as ice, and so on and on. # not a heading\n* item\n1. two\n"
+    docs = spark.createDataFrame([(k, long_ * (k + 2) + "The cat ran; a dog was seen, running, " * k) for k in range(6)], "doc_id long, text string")
+    fitted = reference.fit(docs, "all", dict.fromkeys(reference.FAMILIES, 60))
+    found = {d["family"] for d in fitted.dims}
+    assert len(found) >= 25 and len(reference.FAMILIES) == 28, set(reference.FAMILIES) - found
+    reference.save(fitted, spark, str(tmp_path / "all"))
+    assert reference.load(spark, str(tmp_path / "all")) == fitted
+    held = reference.profile(docs, fitted)
+    assert held.count() == 6 * len(fitted.dims) and {r.family for r in reference.family_gaps(held, fitted).collect()} == found
+
+
+def test_families_have_versions_and_names(docs, fitted, monkeypatch):
+    with pytest.raises(ValueError, match="there is a family"):
+        reference.register("word", reference.FAMILIES["word"])
+    newer = dataclasses.replace(reference.FAMILIES["punct"], version=2)
+    monkeypatch.setitem(reference.FAMILIES, "punct", newer)
+    with pytest.raises(ValueError, match="fit it again"):
+        reference.validate(fitted)
+    monkeypatch.setitem(reference.FAMILIES, "own", reference.measured("per_1k", lambda d: d.selectExpr("doc_id", "'own:length' AS dim", "cast(length(text) AS double) AS value")))
+    own = reference.fit(docs, "mine", {"own": 5})
+    assert [(d["dim"], d["max"]) for d in own.dims] == [("own:length", 61.0)]
