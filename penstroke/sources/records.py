@@ -13,9 +13,10 @@ RECORD = "text string, author string, model string, source string, ts string, re
 CUTOFF = 1_667_260_800
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, in all folders below path; a line that can't be read keeps its text in `_bad`."""
-    return spark.read.schema(RECORD).option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+def read_records(spark: SparkSession, path: str, names: str = "") -> DataFrame:
+    """JSON lines, in all folders below path (of files that names fit, as `*.jsonl`); a line that can't be read keeps its text in `_bad`."""
+    reader = spark.read.option("pathGlobFilter", names) if names else spark.read
+    return reader.schema(RECORD).option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
 def split_bad(records: DataFrame) -> tuple[DataFrame, DataFrame]:
