@@ -208,19 +208,16 @@ def family_gaps(profiles: DataFrame, reference: Reference) -> DataFrame:
 
 
 #: Families held out in the place of one that a reference lacks, those hardest to write toward first.
-CANARIES = ("gram", "word")
+CANARIES = ("gram", "word", "richness")
 
 
 def resolve_canary(families: list[str], wanted: str | None) -> tuple[str | None, str | None]:
     """The family to hold out of a critique, and a note where it isn't the one wanted."""
-    if wanted is None:
-        return None, "no family is held out: writing toward the findings will not be noticed"
-    if wanted in families:
-        return wanted, None
-    for other in CANARIES:
-        if other in families:
-            return other, f"family {wanted} is not in this reference; {other} is held out instead"
-    return None, f"family {wanted} is not in this reference and there is no other to hold out"
+    held = next((f for f in (wanted, *CANARIES) if f in families), None) if wanted else None
+    if held and held == wanted:
+        return held, None
+    why = f"family {wanted} is not in this reference" if wanted else "no family is held out"
+    return held, f"{why}; {held} is held out instead" if held else f"{why}: writing toward the findings will not be noticed"
 
 
 def review(reference: Reference, drafts: DataFrame, targets: DataFrame, canary: str | None = "gram") -> DataFrame:
