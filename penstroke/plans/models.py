@@ -165,7 +165,11 @@ def calibrated_distances(spark, sf):
     return rounded(calibrate.assess(asked, bins))
 
 
-@query()
+@query(f"""WITH {TOK}, top AS (SELECT w FROM tok GROUP BY w ORDER BY count(*) DESC, w LIMIT 30), per AS (SELECT doc_id, w, count(*) AS c FROM tok GROUP BY doc_id, w),
+r AS (SELECT z.doc_id, top.w, coalesce(c, 0)::DOUBLE / z.n AS value FROM sized z CROSS JOIN top LEFT JOIN per ON per.doc_id = z.doc_id AND per.w = top.w),
+s AS (SELECT w, avg(value) AS mean, greatest(coalesce(stddev_samp(value), 0), {W.NOISE_FLOORS["frequency"]}) AS scale FROM r GROUP BY w),
+cut AS (SELECT doc_id, start, ws[start + 1:start + 200] AS ws FROM (SELECT doc_id, ws, unnest(range(0, n - 199, 100)) AS start FROM sized WHERE n >= 200))
+SELECT doc_id, start::BIGINT AS start, round(avg(abs((len(list_filter(ws, lambda x: x = s.w)) / 200.0 - mean) / scale)), 6) AS distance FROM cut CROSS JOIN s GROUP BY doc_id, start""")
 def rolling_distances(spark, sf):
     docs = documents(spark, sf)
     top = [r.term for r in vocabulary.frequent_words(docs, 30).select("term").collect()]  # 30 words

@@ -38,17 +38,31 @@ def marketing_shapes(spark, sf):
     return rounded(devices.marketing(documents(spark, sf)))
 
 
-@query()
+#: Sentences of a document, and its tokens in a line with two spaces between, so that counted patterns may touch.
+_COUNTED = f"{TOK}, {SENT}, z AS (SELECT s.doc_id, s.text, s.n, s.ws, len(p.ss) AS k, p.ss, '  ' || array_to_string(s.ws, '  ') || '  ' AS wide, ' ' || array_to_string(s.ws, ' ') || ' ' AS line FROM sized s JOIN parts p USING (doc_id) WHERE regexp_matches(s.text, '[\\p{{L}}\\p{{Nd}}_]'))"
+
+
+@query(f"WITH {_COUNTED} " + _long({
+    "read:passive_rate": "100 * " + _share(f"len(regexp_extract_all(wide, ' (?:{'|'.join(devices.BE)})  (?:[^ ]+  ){{0,2}}?[^ ]{{2,}}(?:ed|en|wn|ught) '))", "k"),
+    "read:acronym_rate": r"1000.0 * len(list_filter(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: regexp_full_match(x, '[\p{Lu}\p{Nd}]{2,8}') AND len(regexp_extract_all(x, '\p{Lu}')) >= 2)) / n"}, "z"))
 def passive_and_acronyms(spark, sf):
     return rounded(devices.passives(documents(spark, sf)))
 
 
-@query()
+_FRAME = "(?: as (?:[^ ]+ ){1,3}?as | like an? | much the same way )"
+
+
+@query(f"""WITH {_COUNTED}, f AS (SELECT *, len(regexp_extract_all(line, '{_FRAME}')) AS c, len(regexp_extract_all(line, ' (?:not|never|hardly){_FRAME}')) AS negated, {' + '.join("len(regexp_extract_all(wide, ' " + x.replace(' ', '  ') + " '))" for x in devices.FROZEN)} AS frozen,
+  list_transform(regexp_split_to_array(line, '{_FRAME}')[2:-2], lambda p: len(list_filter(string_split(p, ' '), lambda w: w != ''))::DOUBLE) AS gaps FROM z), g AS (SELECT *, list_avg(gaps) AS m, list_stddev_pop(gaps) AS sd FROM f) """ + _long({
+    "frame:simile_rate": "1000.0 * c / n", "frame:negated_vehicle_rate": "1000.0 * negated / n", "frame:frozen_share": "least(1.0, " + _share("frozen", "c") + ")",
+    "frame:figure_burstiness": "CASE WHEN c >= 4 AND len(gaps) >= 2 AND sd + m > 0 THEN (sd - m) / (sd + m) END"}, "g"))
 def comparison_frames(spark, sf):
     return rounded(devices.frames(documents(spark, sf)))
 
 
-@query()
+@query(f"WITH {_COUNTED} " + _long({
+    "md:link_rate": r"1000.0 * (len(regexp_extract_all(text, '\]\([^)]*\)')) + len(regexp_extract_all(regexp_replace(text, '\]\([^)]*\)', ' ', 'g'), '(?:^|[^(])https?://'))) / n", "md:footnote_rate": r"1000.0 * len(regexp_extract_all(text, '\[\^[^\]]+\]')) / n",
+    "sent:rhetorical_question_rate": "100 * " + _share(r"len(list_filter(ss, lambda s: ends_with(s, '?') AND NOT regexp_matches(lower(trim(s)), '^(do|did|can|could|will|would|are|have|may|should) you\b')))", "k")}, "z"))
 def links_and_questions(spark, sf):
     return rounded(devices.links(documents(spark, sf)))
 
