@@ -104,14 +104,4 @@ def norm_clashes(spark, sf):
 
 @query()
 def punchlines(spark, sf):
-    docs = documents(spark, sf)
-    units = surprisal.word_units(docs)
-    scored = surprisal.score(units, surprisal.fit(units))
-    from penstroke.functions.text import sentences, token_array
-
-    each = sentences(docs).select("doc_id", "s", F.size(token_array(F.col("sentence"))).alias("n"), F.size(token_array(F.regexp_extract("sentence", r"^(.*)[,;:—–]", 1))).alias("body")).where("n > 0")
-    from pyspark.sql import Window
-
-    begun = each.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = begun.where("body >= 4 AND body < n").select("doc_id", "s", F.col("start").alias("a"), "body", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i"))
-    return rounded(devices.punchlines(scored, at.select("doc_id", F.col("i").cast("int").alias("i"), "s", (F.col("i") - F.col("a") >= F.col("body")).alias("tail"))))
+    return rounded(surprisal.sentence_punches(documents(spark, sf)))
