@@ -57,8 +57,7 @@ m AS (SELECT book, min(i) AS cut_at FROM b WHERE i >= n * 2 // 3 AND ({_any('low
 h AS (SELECT book, text, array_to_string(list_slice(s, 1, cut_at), chr(10)) AS head, cut_at FROM s LEFT JOIN m USING (book))
 SELECT book, md5(CASE WHEN cut_at IS NOT NULL AND {_n_words('text')} - {_n_words('head')} <= 0.6 * {_n_words('text')} THEN regexp_replace(head, '[\x20\x09-\x0D]+$', '') ELSE text END) AS digest, cut_at IS NOT NULL AS marked FROM h""")
 def tails_cut(spark, sf):
-    marked = F.exists(F.slice(F.split("text", "\n"), F.floor(F.size(F.split("text", "\n")) * 2 / 3).cast("int") + 1, 1_000_000), I.is_tail_marker)
-    return _books(spark, sf).select("book", F.md5(I.cut_tail(F.col("text"))).alias("digest"), marked.alias("marked"))
+    return _books(spark, sf).select("book", F.md5(I.cut_tail(F.col("text"))).alias("digest"), I.has_tail(F.col("text")).alias("marked"))
 
 
 _LIST = lambda words: ", ".join(map(_q, words))
