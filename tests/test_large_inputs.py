@@ -50,3 +50,14 @@ def test_distances_in_blocks_are_those_of_pairs(spark, metric):
         found = distance.between(packed.where("id < 5"), packed, width, metric, block)
         got = {(r.a, r.b): r.distance for r in found.collect()}
         assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], abs=1e-9) for k in got)
+
+
+def test_syllables_of_a_word_are_those_of_the_expression(spark):
+    from penstroke.functions.text import syllables
+
+    words = ["the", "table", "a", "rhythm", "7", "été", "made", "re", "don't", "ae_ie", "queue", "中文", "b.c"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", syllables(F.col("w")).alias("n")).collect()
+    assert {r.w: features._syllables(r.w) for r in rows} == {r.w: r.n for r in rows}
+    docs = spark.createDataFrame([(1, "the table made. a b. c d. e f."), (2, None)], "doc_id long, text string")
+    assert "Generate" not in features.word_lengths(docs)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]
+    assert {r.doc_id for r in features.readability(docs).collect()} == {1}
